@@ -61,12 +61,13 @@ def _spread(h: np.ndarray) -> np.ndarray:
 class Lexicon:
     """Which of the randomised subsets hold a term is a bit mask made from the term's hash.
 
-    Subsets come in levels that keep 1/2, 1/4, 1/8 ... of the terms, so that a short document has
-    terms in some and a long one still agrees with its near copies in others.
+    The first subset is the whole lexicon. The others come in levels that keep 1/8, 1/16, 1/32 ...
+    of the terms, so that a short document has terms in some and a long one still agrees with its
+    near copies in others. There are 64 subsets at most.
     """
 
     def __init__(self, words: list[str], levels: int, each: int):
-        self.subsets = [(k, level + 1) for level in range(levels) for k in range(each)]
+        self.shifts = [0, *(level + 3 for level in range(levels) for _ in range(each))]
         self.words = {w: i for i, w in enumerate(words)}
         self.keys = self.words.keys()
         self.hashes, self.masks = self._of(words)
@@ -74,8 +75,9 @@ class Lexicon:
     def _of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
         masks = np.zeros(len(words), dtype=np.uint64)
-        for i, (_, shift) in enumerate(self.subsets):
-            kept = _spread(h + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & (2**64 - 1))) >> np.uint64(64 - shift) == 0
+        for i, shift in enumerate(self.shifts):
+            mixed = _spread(h + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) & (2**64 - 1)))
+            kept = mixed & np.uint64((1 << shift) - 1) == 0
             masks |= kept.astype(np.uint64) << np.uint64(i)
         return h, masks
 
@@ -90,7 +92,7 @@ class Lexicon:
         order = np.argsort(h)
         h, masks = h[order], masks[order]
         out = []
-        for i in range(len(self.subsets)):
+        for i in range(len(self.shifts)):
             chosen = h[(masks >> np.uint64(i)) & np.uint64(1) == 1]
             out.append(xxhash.xxh32_hexdigest(chosen.tobytes()) if len(chosen) else NO_TERMS)
         return out
@@ -108,14 +110,14 @@ def fingerprints(
     text_col: str = "text",
     min_share: float = 0.0005,
     max_share: float = 0.2,
-    levels: int = 8,
-    each: int = 4,
+    levels: int = 7,
+    each: int = 9,
 ) -> DataFrame:
     """Id and fingerprint of every whole text (null: empty).
 
     The lexicon has the terms (lower-cased, between white space) whose document frequency is from
     ``min_share`` to ``max_share`` of all documents; see `lexicon` for its bound. A fingerprint
-    is ``levels`` times ``each`` hashes, each of the sorted terms in one randomised subset, or ``-``
+    is 1 + ``levels`` * ``each`` hashes, of the sorted terms in the lexicon and its subsets, or ``-``
     where the document has none there. A document without any term of the band is hashed from all
     its terms; an empty one has no hash at all. Equal texts have equal fingerprints.
     """
@@ -163,8 +165,8 @@ def edited_fingerprints(
     text_col: str = "text",
     min_share: float = 0.0005,
     max_share: float = 0.2,
-    levels: int = 8,
-    each: int = 4,
+    levels: int = 7,
+    each: int = 9,
     bucket_rows: int = 5_000,
 ) -> DataFrame:
     """Fingerprint every whole text and its edited text, and compare it with those and the next document's.

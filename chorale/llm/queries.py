@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chorale.llm import fingerprint, packing, pieces, sharding, url_filter
+from chorale.llm import fingerprint, html_model, language, packing, pieces, quality, sharding, toxicity, url_filter
 
 URL_RULES = [
     url_filter.parse_rule("block", "com/en/"),
@@ -49,8 +50,33 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_model.extract(table(spark, sf_dir, "pages"))
+
+
+def _remainder(divisor: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(_remainder(5) != 0))
+    return toxicity.score(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(_remainder(4) != 2))
+    return language.predict(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_pieces, op4_sharding, op5_fingerprints)
+    f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_pieces, op4_sharding, op5_fingerprints, op6_html_extraction, op8_toxicity, op9_quality_rules, op10_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {
