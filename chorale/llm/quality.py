@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chorale.functions.storage import materialize
+
 #: Fixed value: a word is a run of anything but space and the ASCII control white space.
 WORD = r"[^\x20\x09-\x0D]+"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -18,8 +20,8 @@ class Condition(NamedTuple):
     above: bool  # else at most
     threshold: float
 
-    def expression(self) -> Column:
-        c = F.col(self.feature)
+    def expression(self, f: Column) -> Column:
+        c = f[self.feature]
         return c > self.threshold if self.above else c <= self.threshold
 
 
@@ -30,61 +32,93 @@ class Rule(NamedTuple):
     rejected: int
     of: int
 
-    def expression(self) -> Column:
+    def expression(self, f: Column) -> Column:
         out = F.lit(True)
         for c in self.conditions:
-            out = out & c.expression()
+            out = out & c.expression(f)
         return out
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and the five counts of every whole text, in DataFrame functions only.
+def let(value: Column, body) -> Column:
+    """``body`` of the value. Bound as a lambda's variable, the value is computed once, whatever
+    the optimizer does with projections and predicates around it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeated(words: Column) -> Column:
+    """Number of words in three-word windows that occur twice or more.
 
-    A three-word window is a hash of its words. Windows are sorted with their places; a place whose
-    neighbour in that order has an equal hash is one of a repeated window. Counting the words under
-    such windows takes each place's distance to the next, at most 3.
+    A window is a hash of its words. Windows are sorted with their places; one whose neighbour in
+    that order has an equal hash is repeated. Each repeated place covers as many words as there are
+    to the next one, at most 3.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col), text.alias("text"), F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("words"))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))
-    base = base.select(
-        id_col,
-        "words",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        lines.alias("lines"),
+
+    def windows(w: Column) -> Column:
+        one = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("at"))
+        return F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), one)))
+
+    def places(s: Column) -> Column:
+        twice = F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
+        return F.sort_array(F.transform(twice, lambda x: x["at"]))
+
+    def covered(p: Column) -> Column:
+        steps = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))).cast("long"))
+        return F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
+
+    return let(windows(words), lambda s: let(places(s), covered))
+
+
+def counts(text: Column) -> Column:
+    """The five counts of a whole text as a struct, in DataFrame functions only."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+    dup_lines = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    symbols = F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long")
+
+    def of(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            symbols.alias("n_symbols"),
+            dup_lines.alias("n_dup_lines"),
+            repeated(w).alias("n_repeat_words"),
+        )
+
+    return let(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), of)
+
+
+def features(c: Column) -> Column:
+    """The counts and what rules may test."""
+    words = F.greatest(c["n_words"], F.lit(1)).cast("double")
+    return F.struct(
+        *[c[n].alias(n) for n in COUNTS],
+        (c["word_chars"] / words).alias("mean_word"),
+        (c["n_symbols"] / F.greatest(c["word_chars"], F.lit(1)).cast("double")).alias("symbol_share"),
+        c["n_dup_lines"].cast("double").alias("dup_lines"),
+        (c["n_repeat_words"] / words).alias("repeat_share"),
+        ((c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])).alias("base_failed"),
     )
-    base = base.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
-    w = F.col("words")
-    windows = F.when(F.size(w) >= 3, F.array_sort(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("at")))))
-    base = base.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", windows.alias("windows"))
-    s = F.col("windows")
-    twice = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]))
-    base = base.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.array_sort(F.transform(twice, lambda x: x["at"])).alias("places"))
-    p = F.col("places")
-    covered = F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return base.select(id_col, *COUNTS[:4], F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
-
-
-def with_features(stats: DataFrame) -> DataFrame:
-    """Adds the features that rules may test, and whether the base rules reject the document."""
-    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return stats.withColumns({
-        "mean_word": F.col("word_chars") / words,
-        "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)).cast("double"),
-        "dup_lines": F.col("n_dup_lines").cast("double"),
-        "repeat_share": F.col("n_repeat_words") / words,
-        "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-    })
+
+
+def first_rule(f: Column, rules: list[Rule]) -> Column:
+    """Number of the first rule that rejects, from 1; 0 if none does."""
+    chain = F.lit(0)
+    for k, rule in reversed(list(enumerate(rules, 1))):
+        chain = F.when(rule.expression(f), k).otherwise(chain)
+    return chain
+
+
+def kept(text: Column, rules: list[Rule]) -> Column:
+    """Whether the base rules and the learned list keep a text; null counts as empty."""
+    return let(counts(F.coalesce(text, F.lit(""))), lambda c: let(features(c), lambda f: ~f["base_failed"] & (first_rule(f, rules) == 0)))
 
 
 def learn(
-    stats: DataFrame,
+    docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
+    text_col: str = "text",
     label_col: str = "quality",
-    max_docs: int = 50_000,
+    max_docs: int = 20_000,
     bins: int = 12,
     max_rules: int = 8,
     max_conditions: int = 3,
@@ -94,30 +128,31 @@ def learn(
     """Sequential covering over labelled documents that the base rules keep (label 0: reject).
 
     At most ``max_docs`` labelled documents, chosen by a hash of the id, are counted in a grid of
-    ``bins`` quantile cells a feature; the driver gets the non-empty cells. Each rule grows on two
-    thirds of the cells' counts, condition by condition, by the gain in precision over what is
-    still uncovered, is pruned on the other third by dropping last conditions while that does not
-    hurt, and stays if its precision on both is at least ``min_precision``.
+    quantile cells (``bins`` a feature over all and over the rejected); the driver gets the
+    non-empty cells. Each rule grows on two thirds of the counts, condition by condition, by the
+    rejected documents it covers times the gain in precision; it is pruned on the other third by
+    dropping last conditions while that does not hurt; and it stays if its precision is at least
+    ``min_precision``.
     """
-    held = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"))
-    known = with_features(stats).join(held, id_col).where(~F.col("base_failed"))
-    known = known.select(id_col, "label", *FEATURES).orderBy(F.xxhash64(F.lit("quality"), id_col), id_col).limit(max_docs)
-    known = known.withColumn("fold", (F.pmod(F.xxhash64(F.lit("fold"), id_col), F.lit(3)) == 0).cast("int"))
-    return cover(known, bins, max_rules, max_conditions, min_precision, min_share)
+    held = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"))
+    chosen = held.orderBy(F.xxhash64(F.lit("quality"), id_col), id_col).limit(max_docs)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    known = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
+    fold = (F.pmod(F.xxhash64(F.lit("fold"), id_col), F.lit(3)) == 0).cast("int").alias("fold")
+    known = materialize(known.select("label", fold, let(counts(text), features).alias("f")).select("label", "fold", "f.*"), "quality-sample")
+    return cover(known.where(~F.col("base_failed")), bins, max_rules, max_conditions, min_precision, min_share)
 
 
 def cover(known: DataFrame, bins: int, max_rules: int, max_conditions: int, min_precision: float, min_share: float) -> list[Rule]:
-    from chorale.functions.storage import materialize
-
-    known = materialize(known, "quality-sample")
     cuts: dict[str, list[float]] = {}
     for f, some, more in zip(FEATURES, known.approxQuantile(FEATURES, [k / bins for k in range(1, bins)], 0.005), known.where("label = 0").approxQuantile(FEATURES, [k / bins for k in range(1, bins)], 0.005)):
         cuts[f] = sorted({*some, *more})
-    cell = [F.size(F.filter(F.array(*map(F.lit, cuts[f])), lambda c, f=f: c < F.col(f))).alias(f) if cuts[f] else F.lit(0).alias(f) for f in FEATURES]
+    cell = [sum((F.col(f) > c).cast("int") for c in cuts[f]) + F.lit(0) for f in FEATURES]
+    cell = [c.alias(f) for c, f in zip(cell, FEATURES)]
     cells = known.select("label", "fold", *cell).groupBy("label", "fold", *FEATURES).count().collect()  # at most max_docs rows
     rows = [([r[f] for f in FEATURES], r["label"], r["fold"], r["count"]) for r in cells]
 
-    def counts(conditions, some, fold: int) -> tuple[int, int]:
+    def tally(conditions, some, fold: int) -> tuple[int, int]:
         bad = total = 0
         for at, label, k, n in some:
             if k == fold and all((at[i] > c) == above for i, above, c in conditions):
@@ -133,22 +168,22 @@ def cover(known: DataFrame, bins: int, max_rules: int, max_conditions: int, min_
         chosen: list[tuple] = []
         inside = [r for r in left if r[2] == 0]
         while len(chosen) < max_conditions:
-            bad0, all0 = counts([], inside, 0)
+            bad0, all0 = tally([], inside, 0)
             if not bad0 or bad0 == all0:
                 break
             best, gain = None, 0.0
             for o in options:
-                bad, n = counts([o], inside, 0)
+                bad, n = tally([o], inside, 0)
                 if bad and n >= min_share * total * 2 / 3 and (g := bad * ((bad + 0.1) / (n + 0.2) - bad0 / all0)) > gain:
                     best, gain = o, g
             if best is None:
                 break
             chosen.append(best)
             inside = [r for r in inside if (r[0][best[0]] > best[2]) == best[1]]
-        share = lambda cs, fold: (lambda b, n: (b + 0.5) / (n + 1) if n else 0.0)(*counts(cs, left, fold))
+        share = lambda cs, fold: (lambda b, n: (b + 0.5) / (n + 1) if n else 0.0)(*tally(cs, left, fold))
         while len(chosen) > 1 and share(chosen[:-1], 1) >= share(chosen, 1):
             chosen.pop()
-        bad, n = (x + y for x, y in zip(counts(chosen, left, 0), counts(chosen, left, 1)))
+        bad, n = (x + y for x, y in zip(tally(chosen, left, 0), tally(chosen, left, 1)))
         if not chosen or not n or bad / n < min_precision or share(chosen, 1) < min_precision - 0.03:
             break
         rules.append(Rule(tuple(Condition(FEATURES[i], above, cuts[FEATURES[i]][c]) for i, above, c in chosen), bad, n))
@@ -156,24 +191,14 @@ def cover(known: DataFrame, bins: int, max_rules: int, max_conditions: int, min_
     return rules
 
 
-def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds base_failed, rule (which rejects first, from 1; 0: none) and kept."""
-    chain = F.lit(0)
-    for k, rule in reversed(list(enumerate(rules, 1))):
-        chain = F.when(rule.expression(), k).otherwise(chain)
-    judged = with_features(stats).withColumn("rule", chain)
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).drop("mean_word", "symbol_share", "dup_lines", "repeat_share")
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, base_failed, rule and kept of every document.
+def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id, the five counts, base_failed, rule (the first that rejects, from 1; 0: none) and kept of every document.
 
     Null texts have no words and fail the base rules, as empty ones do. Without labels there are no
     learned rules. Repeated rows are judged one by one, an empty table gives no rows, and other
     columns are not read.
     """
-    held = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").cast("int").alias("quality"))
-    order = F.xxhash64(F.lit("quality"), id_col)
-    chosen = held.orderBy(order, id_col).limit(20_000)
-    known = statistics(docs.select(id_col, text_col).join(F.broadcast(chosen.select(id_col)), id_col), id_col, text_col)
-    return judge(statistics(docs, id_col, text_col), learn(known, chosen, id_col))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    f = F.col("f")
+    judged = docs.select(F.col(id_col), let(counts(text), features).alias("f")).select(id_col, "f", first_rule(f, rules).alias("rule"))
+    return judged.select(id_col, *[f[n].alias(n) for n in (*COUNTS, "base_failed")], "rule", (~f["base_failed"] & (F.col("rule") == 0)).alias("kept"))

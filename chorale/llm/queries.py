@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.llm import fingerprint, html_model, language, packing, pieces, quality, sharding, toxicity, url_filter
+from chorale.llm import fingerprint, html_model, language, near_join, packing, pieces, quality, sharding, toxicity, url_filter
 
 URL_RULES = [
     url_filter.parse_rule("block", "com/en/"),
@@ -58,6 +58,10 @@ def _remainder(divisor: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_join(table(spark, sf_dir, "documents"), n=5, similarity=0.8)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(_remainder(5) != 0))
@@ -65,8 +69,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +81,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_pieces, op4_sharding, op5_fingerprints, op6_html_extraction, op8_toxicity, op9_quality_rules, op10_language_id)
+    f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_pieces, op4_sharding, op5_fingerprints, op6_html_extraction, op7_ngram_jaccard_join, op8_toxicity, op9_quality_rules, op10_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {

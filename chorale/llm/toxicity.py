@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,7 +142,7 @@ class Scorer:
             s = known.get(w)
             z.append(self._word(w) if s is None else s)
         total = sum(sorted(z)) + self.model.bias  # in a fixed order: equal texts get equal scores
-        return float(1 / (1 + np.exp(-min(40.0, max(-40.0, total)))))
+        return 1 / (1 + math.exp(-min(40.0, max(-40.0, total))))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,3 +162,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     return map_rows(docs, [id_col, text_col], f"`{id_col}` {kind}, score double, predicted int", run)
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose texts score under 0.5; null texts count as empty."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    token = uuid.uuid4().hex
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = built(token, lambda: Scorer(sent.value))
+        for batch in batches:
+            yield batch.filter(pa.array([scorer(t.as_py() or "") < 0.5 for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
