@@ -2,10 +2,63 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chorale.functions.shipping import ship
+from chorale.functions.storage import materialize
+from chorale.llm import near_join, packing, quality, toxicity
+from chorale.llm.queries import table, tokenizer_path
+
+#: The learned stages and the similarity join have no SQL form.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The columns of ``docs`` where the id is in ``ids`` (a column keep_id). Rows that share an id are one document."""
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["keep_id"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels of this stage's documents, takes for clean."""
+    ship(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the learned decision list keep."""
+    ship(spark)
+    rules = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return docs.where(quality.kept(F.col("text"), rules))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked documents, the one with the lowest id."""
+    ship(spark)
+    classes = near_join.near_join(docs, n=5, similarity=0.8)
+    return _kept(docs, classes.select(F.col("class_id").alias("keep_id")).distinct())
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the kept documents in sequences of 2048 tokens."""
+    ship(spark)
+    packed = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality rules", drop_poor),
+    ("n-gram Jaccard join", drop_copies),
+    ("best-fit packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage{k}")
     return docs
