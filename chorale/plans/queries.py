@@ -2,5 +2,268 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from chorale.operators import align, announcements, graph, identity, media, order, overlap, parsing, report
+from chorale.sources import sinks
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three partial exports of every conversation, derived from its turns."""
+    turns = table(spark, sf_dir, "conversations")
+    holders = F.explode(F.array(*[F.struct(F.lit(h).alias("data_holder"), F.lit(k).alias("k")) for k, h in enumerate("ABC")])).alias("e")
+    rows = turns.select("*", holders).where((F.col("conv_id") * 7 + F.col("turn") * 3 + F.col("e.k")) % 5 != 0)
+    date = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, conv_id, turn, 0)")
+    return rows.select(
+        F.col("conv_id").alias("conversation_id"), date.alias("date"), F.col("role").alias("sender"), F.col("text").alias("message"),
+        F.lit("").alias("media"), F.col("e.data_holder").alias("data_holder"), F.col("turn").cast("long").alias("original_order"),
+        align.message_media(F.lit(""), F.col("text")).alias("message_media"),
+    )
+
+
+EXPORTS_SQL = """
+    SELECT conv_id AS conversation_id, TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id) + to_minutes(turn) AS date, role AS sender,
+           text AS message, '' AS media, h AS data_holder, CAST(turn AS BIGINT) AS original_order, nullif(text, '') AS message_media
+    FROM conversations, (VALUES ('A', 0), ('B', 1), ('C', 2)) AS x(h, k) WHERE (conv_id * 7 + turn * 3 + k) % 5 <> 0"""
+ALIGNED_SQL = f"""
+    WITH e AS ({EXPORTS_SQL}),
+    f AS (SELECT conversation_id, date, sender, message_media, data_holder, min(original_order) AS o FROM e GROUP BY ALL),
+    a AS (SELECT conversation_id, date, sender, message_media, string_agg(data_holder, ',' ORDER BY data_holder) AS sources,
+                 max(o) FILTER (data_holder = 'A') AS order_a, max(o) FILTER (data_holder = 'B') AS order_b, max(o) FILTER (data_holder = 'C') AS order_c
+          FROM f GROUP BY ALL)"""
+
+LINES_SQL = "SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 30"
+SCORES_SQL = f"""
+    WITH s AS ({LINES_SQL}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.line = y.line AND x.doc_id < y.doc_id GROUP BY ALL),
+    scores AS (SELECT a, b, common, common / least(p.n, q.n) AS score FROM c JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id)"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _line_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length("line") >= 30)
+    return overlap.overlap_scores(lines, "doc_id", "line")
+
+
+@query(SCORES_SQL + " SELECT a, b, common, round(score, 6) AS score FROM scores")
+def doc_line_overlap(spark, sf_dir):
+    return _line_scores(spark, sf_dir).select("a", "b", "common", F.round("score", 6).alias("score"))
+
+
+@query(SCORES_SQL.replace("WITH s", "WITH RECURSIVE s") + """,
+    e AS (SELECT a, b FROM scores WHERE score > 0.5 UNION SELECT b, a FROM scores WHERE score > 0.5),
+    r(node, low) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node)
+    SELECT node, min(low) AS component FROM r GROUP BY node""")
+def doc_line_overlap_components(spark, sf_dir):
+    return graph.connected_components(overlap.linked(_line_scores(spark, sf_dir), 0.5))
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS component FROM documents")
+def exact_text_components(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    return docs.join(docs.groupBy("h").agg(F.min("doc_id").alias("component")), "h").select("doc_id", "component")
+
+
+@query(f"SELECT conversation_id, data_holder, count(*) AS n, count(DISTINCT message) AS n_distinct FROM ({EXPORTS_SQL}) GROUP BY ALL")
+def export_distinct(spark, sf_dir):
+    return exports(spark, sf_dir).groupBy("conversation_id", "data_holder").agg(F.count("*").alias("n"), F.countDistinct("message").alias("n_distinct"))
+
+
+@query(ALIGNED_SQL + " SELECT * FROM a")
+def export_full_outer_merge(spark, sf_dir):
+    a = align.align(exports(spark, sf_dir))
+    orders = [F.try_element_at("orders", F.lit(h)).alias(f"order_{h.lower()}") for h in "ABC"]
+    return a.select("conversation_id", "date", "sender", "message_media", "sources", *orders)
+
+
+@query(ALIGNED_SQL + ", m AS (SELECT conversation_id, message_media, arg_min(message, (data_holder, original_order)) AS message FROM e GROUP BY ALL) SELECT a.conversation_id, date, sender, sources, message FROM a LEFT JOIN m ON a.conversation_id = m.conversation_id AND a.message_media IS NOT DISTINCT FROM m.message_media")
+def merge_first_match(spark, sf_dir):
+    e = exports(spark, sf_dir)
+    return align.first_match(align.align(e), e, ["message"]).select("conversation_id", "date", "sender", "sources", "message")
+
+
+@query(ALIGNED_SQL + """, o AS (SELECT conversation_id, date, sender, coalesce(order_c, order_b, order_a) AS n FROM a),
+    w AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY date, sender) AS pos FROM o),
+    x AS (SELECT conversation_id, pos, n, coalesce(n - lag(n) OVER p, 0) < 0 OR coalesce(n - lead(n) OVER p, 0) > 0 AS any_out_of_order,
+                 count(*) OVER (PARTITION BY conversation_id, n) > 1 AS no_unique_order FROM w WINDOW p AS (PARTITION BY conversation_id ORDER BY pos))
+    SELECT conversation_id, pos, n, any_out_of_order, no_unique_order, any_out_of_order OR no_unique_order AS unknown_order FROM x""")
+def merge_order_flags(spark, sf_dir):
+    a = align.align(exports(spark, sf_dir))
+    n = F.coalesce(*[F.try_element_at("orders", F.lit(h)) for h in "CBA"])
+    a = a.select("conversation_id", n.alias("n"), F.row_number().over(W.partitionBy("conversation_id").orderBy("date", "sender")).cast("long").alias("pos"))
+    return align.order_flags(a, ["conversation_id"], "pos", "n").select("conversation_id", "pos", "n", "any_out_of_order", "no_unique_order", "unknown_order")
+
+
+@query()
+def order_repair(spark, sf_dir):
+    return order.order_rows(align.align(exports(spark, sf_dir)))
+
+
+@query("SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'")
+def file_window(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumnRenamed("ts", "date")
+    return align.file_window(e, F.expr("timestamp_ntz'2024-01-05 00:00:00'"), F.expr("timestamp_ntz'2024-01-20 00:00:00'")).select("event_id", F.col("date").alias("ts"))
+
+
+@query("SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'")
+def conv_window(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumnRenamed("ts", "date")
+    return align.conversation_window(e, F.expr("timestamp_ntz'2024-01-05 00:00:00'"), F.expr("timestamp_ntz'2024-01-20 00:00:00'")).select("event_id", F.col("date").alias("ts"))
+
+
+def _event_messages(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("data_holder"), F.col("ts").alias("date"), F.when(F.col("event_type") == "purchase", "file").otherwise("").alias("media"), F.when(F.col("event_type") == "click", "").otherwise(F.col("event_type")).alias("sender"))
+
+
+@query("""SELECT user_id AS data_holder, count(*) FILTER (event_type = 'purchase') AS n_media_before, count(*) FILTER (event_type <> 'purchase') AS n_text_before,
+    count(*) FILTER (event_type = 'purchase' AND ts > TIMESTAMP '2024-01-10 00:00:00') AS n_media_after,
+    count(*) FILTER (event_type <> 'purchase' AND ts > TIMESTAMP '2024-01-10 00:00:00') AS n_text_after FROM events GROUP BY user_id""")
+def before_after_counts(spark, sf_dir):
+    return report.before_after(_event_messages(spark, sf_dir), F.col("date") > F.expr("timestamp_ntz'2024-01-10 00:00:00'"))
+
+
+@query("""SELECT user_id AS data_holder, count(*) AS n_messages, count(*) FILTER (event_type NOT IN ('purchase', 'click')) AS n_text,
+    count(*) FILTER (event_type = 'purchase') AS n_media, count(*) FILTER (event_type = 'click') AS n_announcements, min(ts) AS first_date, max(ts) AS last_date
+    FROM events GROUP BY user_id""")
+def holder_overview(spark, sf_dir):
+    return report.holder_overview(_event_messages(spark, sf_dir))
+
+
+def _files(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", "source", F.concat(F.lit("IMG-"), (F.col("doc_id") % 50).cast("string"), F.lit(".jpg")).alias("name"), F.sha2("text", 256).alias("hash"))
+
+
+@query("SELECT 'IMG-' || (doc_id % 50) || '.jpg' AS name, count(DISTINCT sha256(text)) AS n_hashes FROM documents GROUP BY ALL")
+def collision_counts(spark, sf_dir):
+    return media.collisions(_files(spark, sf_dir), "name", "hash")
+
+
+@query("""WITH f AS (SELECT doc_id, source, 'IMG-' || (doc_id % 50) || '.jpg' AS name, sha256(text) AS hash FROM documents),
+    s AS (SELECT name FROM f GROUP BY name HAVING count(DISTINCT hash) > 1),
+    k AS (SELECT source, name, hash, dense_rank() OVER (PARTITION BY source ORDER BY hash) AS k FROM (SELECT DISTINCT source, name, hash FROM f WHERE name IN (SELECT name FROM s)))
+    SELECT doc_id, CASE WHEN k IS NULL THEN f.name ELSE replace(f.name, '.jpg', '_' || k || '.jpg') END AS new_name FROM f LEFT JOIN k USING (source, name, hash)""")
+def collision_rename(spark, sf_dir):
+    return media.rename_collisions(_files(spark, sf_dir), "source", "name", "hash").select("doc_id", "new_name")
+
+
+@query("SELECT sha256(text) AS hash, max(doc_id) AS canonical FROM documents GROUP BY ALL")
+def canonical_by_digest(spark, sf_dir):
+    return media.canonical_by_digest(_files(spark, sf_dir), "doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)")
+def digest_semi(spark, sf_dir):
+    f = _files(spark, sf_dir).select("doc_id", "hash")
+    return f.join(f.groupBy("hash").count().where("count > 1"), "hash", "left_semi").select("doc_id")
+
+
+@query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.text = b.text)")
+def digest_anti(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").join(table(spark, sf_dir, "documents"), "text", "left_anti").select("item_id")
+
+
+@query("SELECT event_id, strftime(ts, '%-d-%-m-%Y %-H:%-M') AS raw, date_trunc('minute', ts) AS date FROM events")
+def parse_dates(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "d-M-yyyy H:m").alias("raw"))
+    return e.withColumn("date", parsing.parse_date(F.col("raw"), F.lit("d-M-yyyy H:m")))
+
+
+@query("""SELECT c_custkey, c_name || ' heeft ' || n_name || ' toegevoegd' AS message, c_name AS admin, n_name AS name, CAST(4 AS INTEGER) AS rule
+    FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def announce_extract(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select("c_custkey", F.concat("c_name", F.lit(" heeft "), "n_name", F.lit(" toegevoegd")).alias("message"), F.lit("X").alias("data_holder"))
+    return announcements.extract(rows).select("c_custkey", "message", "admin", "name", "rule")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'contact ' || c_nationkey ELSE c_name END AS label
+    FROM customer""")
+def label_lookup(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("label"), F.lit("H").alias("data_holder"), "c_nationkey")
+    contacts = rows.where("c_custkey % 3 = 0").select("data_holder", "label", F.concat(F.lit("contact "), F.col("c_nationkey").cast("string")).alias("canonical"))
+    book = spark.createDataFrame([("+31600000000", "nobody")], "number string, name string")
+    return identity.apply_labels(rows, contacts, book, "label").select("c_custkey", "label")
+
+
+@query("SELECT '+' || c_nationkey || '00' AS number, min(c_name) AS name FROM customer GROUP BY ALL")
+def phone_book(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("+"), F.col("c_nationkey").cast("string"), F.lit(" 00")).alias("label"), F.col("c_name").alias("canonical"))
+    return identity.phone_book(rows)
+
+
+@query("""SELECT c_nationkey AS component, regexp_replace(trim(arg_min(c_mktsegment, (-length(regexp_replace(c_mktsegment, '[\\d+\\s]', '', 'g')), c_mktsegment))), '\\s+', ' ', 'g') AS canonical
+    FROM customer GROUP BY ALL""")
+def longest_name(spark, sf_dir):
+    return identity.canonical_names(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("component"), F.col("c_mktsegment").alias("label")))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN count(*) OVER (PARTITION BY conv_id, role) > 1 THEN role || ' ' || row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) ELSE role END AS unique_holder
+    FROM conversations""")
+def holder_suffix(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("|", "conv_id", "role").alias("holder"))
+    return identity.holder_suffixes(rows, "holder", "turn").select("conv_id", "turn", F.substring_index("unique_holder", "|", -1).alias("unique_holder"))
+
+
+@query("""WITH f AS (SELECT conv_id, role, min(turn) AS first FROM conversations WHERE role <> '' GROUP BY ALL)
+    SELECT conv_id, role, 'Deelnemer ' || dense_rank() OVER (PARTITION BY conv_id ORDER BY first, role) AS pseudonym FROM f""")
+def pseudonymise(spark, sf_dir):
+    return identity.pseudonyms(table(spark, sf_dir, "conversations"), "conv_id", "role", "turn")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_type)) AS topic FROM events GROUP BY user_id")
+def topic_latest(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("conversation_id"), F.col("ts").alias("date"), F.col("event_type").alias("to_topic"))
+    return announcements.latest_topic(e).select(F.col("conversation_id").alias("user_id"), "topic")
+
+
+@query("SELECT conv_id, turn, CASE WHEN (turn + 1) % 3 = turn % 2 THEN turn % 2 ELSE turn % 3 END AS mode FROM conversations")
+def row_mode(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    values = F.array(F.col("turn") % 3, F.col("turn") % 2, (F.col("turn") + 1) % 3)
+    return c.select("conv_id", "turn", align.row_mode(values).alias("mode"))
+
+
+@query(f"SELECT conversation_id, data_holder, original_order, strftime(date, '%d-%m-%Y %H:%M') || ' - ' || CASE WHEN sender <> '' THEN sender || ': ' ELSE '' END || coalesce(message, '') AS line FROM ({EXPORTS_SQL})")
+def render_txt(spark, sf_dir):
+    return exports(spark, sf_dir).select("conversation_id", "data_holder", "original_order", sinks.rendered().alias("line"))
+
+
+@query(f"SELECT conversation_id, data_holder, original_order, CASE WHEN lower(sender) IN ('u', 'uw', 'you', 'your', 'user') THEN data_holder ELSE sender END AS sender FROM ({EXPORTS_SQL})")
+def self_reference(spark, sf_dir):
+    who = F.when(F.lower("sender").isin([*announcements.SELF, "user"]), F.col("data_holder")).otherwise(F.col("sender"))
+    return exports(spark, sf_dir).select("conversation_id", "data_holder", "original_order", who.alias("sender"))
+
+
+@query()
+def export_segments(spark, sf_dir):
+    """Writes each export's rows as text, then infers its format and reads the messages back."""
+    e = exports(spark, sf_dir).where("message is not null")
+    line = F.concat(F.date_format("date", "d-M-yyyy HH:mm"), F.lit(" - "), "sender", F.lit(": "), F.col("message"))
+    rows = e.groupBy("conversation_id", "data_holder").agg(F.array_sort(F.collect_list(F.struct("original_order", line.alias("line")))).alias("rows"))
+    files = rows.select(F.concat_ws("/", F.col("data_holder"), F.col("conversation_id").cast("string")).alias("file"), F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("body"))
+    lined = parsing.lines(files)
+    chats = parsing.infer_formats(lined).withColumn("data_holder", F.substring_index("file", "/", 1))
+    return parsing.messages(lined, chats)
