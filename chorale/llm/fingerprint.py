@@ -137,7 +137,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int) ->
     """Rows (bucket, tail, id, text) such that within a bucket, in order, each row's next document follows.
 
     The order is descending by id (null last), then by a hash of the text. Buckets are ranges of
-    ids; the first row of the bucket below, or of the topmost bucket, is copied to a bucket's end.
+    ids; the first row of the bucket below, or of the topmost bucket, is copied to a bucket's end. Each
+    bucket is a partition of its own; hashing the few bucket numbers would put several into one.
     """
     n = docs.count()
     parts = max(1, math.ceil(n / bucket_rows))
@@ -156,7 +157,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int) ->
     rows = rows.join(F.broadcast(table), rows["id"].eqNullSafe(table["top_id"]) & (rows["h"] == table["top_h"]), "left")
     targets = F.concat(F.array(F.struct("bucket", F.lit(0).alias("tail"))), F.coalesce(F.transform("copy_to", lambda b: F.struct(b.alias("bucket"), F.lit(1).alias("tail"))), F.array()))
     rows = rows.select("id", "text", "h", F.explode(targets).alias("to")).select("to.bucket", "to.tail", "id", "text", "h")
-    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.col("id").desc_nulls_last(), F.col("h").desc()).drop("h")
+    return rows.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "tail", F.col("id").desc_nulls_last(), F.col("h").desc()).drop("h")
 
 
 def edited_fingerprints(
