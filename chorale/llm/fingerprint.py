@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,6 +140,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int) ->
     The order is descending by id (null last), then by a hash of the text. Buckets are ranges of
     ids; the first row of the bucket below, or of the topmost bucket, is copied to a bucket's end. Each
     bucket is a partition of its own; hashing the few bucket numbers would put several into one.
+    Texts are shuffled and sorted as zstd frames, for they are all that the shuffle weighs.
     """
     n = docs.count()
     parts = max(1, math.ceil(n / bucket_rows))
@@ -157,6 +159,14 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int) ->
     rows = rows.join(F.broadcast(table), rows["id"].eqNullSafe(table["top_id"]) & (rows["h"] == table["top_h"]), "left")
     targets = F.concat(F.array(F.struct("bucket", F.lit(0).alias("tail"))), F.coalesce(F.transform("copy_to", lambda b: F.struct(b.alias("bucket"), F.lit(1).alias("tail"))), F.array()))
     rows = rows.select("id", "text", "h", F.explode(targets).alias("to")).select("to.bucket", "to.tail", "id", "text", "h")
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            packed = pa.array([zstd.compress(x.as_py().encode()) for x in batch.column("text")], pa.binary())
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", packed)
+
+    rows = rows.mapInArrow(squeeze, f"bucket long, tail int, id {kind}, text binary, h long")
     return rows.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "tail", F.col("id").desc_nulls_last(), F.col("h").desc()).drop("h")
 
 
@@ -186,10 +196,12 @@ def edited_fingerprints(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = built(token, lambda: Lexicon(sent.value, levels, each))
+        zstd = zstandard.ZstdDecompressor()
         held = None
         for batch in batches:
             out = []
-            for bucket, tail, key, text in zip(*[c.to_pylist() for c in batch.columns]):
+            for bucket, tail, key, frame in zip(*[c.to_pylist() for c in batch.columns]):
+                text = zstd.decompress(frame).decode()
                 prints = known.fingerprint(text)
                 if held is not None and held[0] == bucket and not held[1]:
                     half = len(held[3]) // 2
