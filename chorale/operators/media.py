@@ -29,3 +29,29 @@ def rename_collisions(rows: DataFrame, partition: str, name: str, digest: str) -
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     suffix = F.regexp_extract(name, r"(\.[^.]*)$", 1)
     return out.withColumn("new_name", F.when(F.col("k").isNotNull(), F.concat(stem, F.lit("_"), F.col("k").cast("string"), suffix)).otherwise(F.col(name))).drop("k")
+
+
+def included_directories(chats: DataFrame) -> DataFrame:
+    """parent: the archive itself or the folder of the text, of every chat that is loaded."""
+    parent = F.when(F.col("file").endswith(".zip"), F.col("file")).otherwise(F.regexp_replace("file", r"/[^/]*$", ""))
+    return chats.where("load").select(parent.alias("parent")).distinct()
+
+
+def file_table(files: DataFrame, directories: DataFrame, canonical: DataFrame) -> DataFrame:
+    """path_self, parent, hash, path_other, chosen_location, external_location.
+
+    All places, anywhere, of digests that occur in an included directory, each with the chosen path
+    of its digest. ``files`` has path, parent and hash; ``canonical`` hash and canonical.
+    """
+    inside = directories.select(F.col("parent").alias("_inside")).where("_inside is not null").distinct()
+    placed = files.join(inside, files["parent"] == inside["_inside"], "left")
+    wanted = placed.where("_inside is not null").select("hash").distinct()
+    found = placed.join(wanted, "hash", "left_semi").join(canonical, "hash")
+    return found.select(F.col("path").alias("path_self"), "parent", "hash", F.col("canonical").alias("path_other"), (F.col("path") == F.col("canonical")).alias("chosen_location"), F.col("_inside").isNull().alias("external_location"))
+
+
+def anonymous_names(files: DataFrame, partition: str, path: str = "path", prefix: str = "bijlage") -> DataFrame:
+    """partition, path, new_name: ``bijlage_i.ext``, numbered by path within the partition."""
+    known = files.select(partition, path).where(F.col(path).isNotNull()).distinct()
+    i = F.row_number().over(W.partitionBy(partition).orderBy(path))
+    return known.withColumn("new_name", F.concat(F.lit(f"{prefix}_"), i.cast("string"), F.regexp_extract(path, r"(\.[^./]*)$", 1)))

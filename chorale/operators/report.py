@@ -28,3 +28,19 @@ def before_after(messages: DataFrame, kept) -> DataFrame:
         F.count_if(media & kept).alias("n_media_after"),
         F.count_if(~media & kept).alias("n_text_after"),
     )
+
+
+def timeline(spans: DataFrame) -> DataFrame:
+    """Adds the days before, in and after the selection of each holder.
+
+    ``spans`` has first_date, start_selection, end_selection and last_date. Whole days, rounded
+    down, so a negative part of a day counts as one; null where a date is.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    days = lambda a, b: F.floor((micros(b) - micros(a)) / 86_400_000_000).cast("long")
+    return spans.select(
+        "*",
+        days("first_date", "start_selection").alias("pre_selection"),
+        days("start_selection", "end_selection").alias("selection"),
+        days("end_selection", "last_date").alias("post_selection"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from chorale.operators import align, announcements, graph, identity, media, order, overlap, parsing, report
+from chorale.operators import align, announcements, graph, identity, mapping, media, order, overlap, parsing, report
 from chorale.sources import sinks
 
 
@@ -267,3 +267,40 @@ def export_segments(spark, sf_dir):
     lined = parsing.lines(files)
     chats = parsing.infer_formats(lined).withColumn("data_holder", F.substring_index("file", "/", 1))
     return parsing.messages(lined, chats)
+
+
+@query("""WITH s AS (SELECT user_id, min(ts) AS first_date, max(ts) AS last_date FROM events GROUP BY user_id)
+    SELECT user_id, CAST(floor((epoch_us(TIMESTAMP '2024-01-10 00:00:00') - epoch_us(first_date)) / 86400000000) AS BIGINT) AS pre_selection,
+    CAST(10 AS BIGINT) AS selection, CAST(floor((epoch_us(last_date) - epoch_us(TIMESTAMP '2024-01-20 00:00:00')) / 86400000000) AS BIGINT) AS post_selection FROM s""")
+def timeline_days(spark, sf_dir):
+    spans = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("first_date"), F.max("ts").alias("last_date"))
+    spans = spans.withColumn("start_selection", F.expr("timestamp_ntz'2024-01-10 00:00:00'")).withColumn("end_selection", F.expr("timestamp_ntz'2024-01-20 00:00:00'"))
+    return report.timeline(spans).select("user_id", "pre_selection", "selection", "post_selection")
+
+
+@query("""WITH f AS (SELECT source || '/' || doc_id AS path, source AS parent, sha256(text) AS hash FROM documents),
+    d AS (SELECT DISTINCT source AS parent FROM documents WHERE source <= (SELECT min(source) FROM documents)),
+    k AS (SELECT hash, max(path) AS canonical FROM f GROUP BY hash)
+    SELECT path AS path_self, hash, canonical AS path_other, path = canonical AS chosen_location, parent NOT IN (SELECT parent FROM d) AS external_location
+    FROM f JOIN k USING (hash) WHERE hash IN (SELECT hash FROM f WHERE parent IN (SELECT parent FROM d))""")
+def file_locations(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    files = d.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("source").alias("parent"), F.sha2("text", 256).alias("hash"))
+    chosen = d.agg(F.min("source").alias("parent"))
+    return media.file_table(files, chosen, media.canonical_by_digest(files)).drop("parent")
+
+
+@query("""SELECT source, doc_id, 'bijlage_' || row_number() OVER (PARTITION BY source ORDER BY CAST(doc_id AS VARCHAR) || '.jpg') || '.jpg' AS new_name FROM documents""")
+def anonymous_attachments(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"))
+    return media.anonymous_names(d, "source").select("source", F.regexp_replace("path", r"\.jpg$", "").cast("long").alias("doc_id"), "new_name")
+
+
+@query("""WITH RECURSIVE g AS (SELECT 'r' || n_regionkey AS g, n_nationkey AS m FROM nation UNION ALL SELECT 's' || s_nationkey % 2, s_nationkey FROM supplier WHERE s_nationkey < 4),
+    e AS (SELECT DISTINCT x.m AS a, y.m AS b FROM g x JOIN g y USING (g)),
+    r(node, low) AS (SELECT DISTINCT m, m FROM g UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node)
+    SELECT node AS member, min(low) AS component FROM r GROUP BY node""")
+def merged_groups(spark, sf_dir):
+    known = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("group_id"), F.col("n_nationkey").alias("member"))
+    found = table(spark, sf_dir, "supplier").where("s_nationkey < 4").select(F.concat(F.lit("s"), (F.col("s_nationkey") % 2).cast("string")).alias("group_id"), F.col("s_nationkey").alias("member"))
+    return mapping.merge_groups(known, found)
