@@ -137,11 +137,11 @@ class Scorer:
         return found
 
     def __call__(self, text: str) -> float:
-        known, z = self.known, []
-        for w in words(text):
-            s = known.get(w)
-            z.append(self._word(w) if s is None else s)
-        total = sum(sorted(z)) + self.model.bias  # in a fixed order: equal texts get equal scores
+        found = words(text)
+        z = list(map(self.known.get, found))
+        if None in z:
+            z = [self._word(w) if s is None else s for w, s in zip(found, z)]
+        total = math.fsum(z) + self.model.bias  # exact, so equal texts get equal scores in any order
         return 1 / (1 + math.exp(-min(40.0, max(-40.0, total))))
 
 
