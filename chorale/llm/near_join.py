@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorale.functions.storage import materialize
-from chorale.llm.common import map_rows
+from chorale.llm.common import map_rows, uncollected
 from chorale.operators.graph import connected_components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -70,17 +69,17 @@ class Banding:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """Id, set_key (equal for equal n-gram sets) and the band hashes of every document."""
+    """Id, set_key (equal for equal n-gram sets), n-grams in the set and the band hashes of every document."""
 
     def run(keys, texts) -> Iterator[tuple]:
-        gc.disable()
         shingle, band = Shingler(n), Banding(bands, rows)
-        for key, text in zip(keys, texts):
-            s = shingle(text or "")
-            yield key, xxhash.xxh128_digest(s.tobytes()), band(s).tolist()
+        with uncollected():
+            for key, text in zip(keys, texts):
+                s = shingle(text or "")
+                yield key, xxhash.xxh128_digest(s.tobytes()), len(s), band(s).tolist()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], f"id {kind}, set_key binary, bands array<long>", run)
+    return map_rows(docs, [id_col, text_col], f"id {kind}, set_key binary, shingles long, bands array<long>", run)
 
 
 def _links(sets: list[np.ndarray], copies: np.ndarray, first: np.ndarray, second: np.ndarray, similarity: float) -> tuple[np.ndarray, list[int]]:
@@ -108,19 +107,12 @@ def _links(sets: list[np.ndarray], copies: np.ndarray, first: np.ndarray, second
     close = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6
     close &= (first[:, None] & second[None, :]) | (second[:, None] & first[None, :])
     np.fill_diagonal(close, False)
-    label = list(range(m))
-
-    def root(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
-    for i, j in zip(*np.nonzero(np.triu(close))):
-        a, b = root(int(i)), root(int(j))
-        if a != b:
-            label[max(a, b)] = min(a, b)
-    return close @ copies, [root(i) for i in range(m)]
+    label = np.arange(m)
+    while True:  # each set takes the lowest label of its links, until none changes
+        least = np.minimum(label, np.where(close, label[None, :], m).min(axis=1, initial=m))
+        if (least := least[least]).tolist() == label.tolist():
+            return close @ copies, label.tolist()
+        label = least
 
 
 def near_join(
@@ -131,6 +123,7 @@ def near_join(
     similarity: float = 0.8,
     recall: float = 0.99995,
     block: int = 400,
+    block_shingles: int = 2_000_000,
 ) -> DataFrame:
     """Id, class_id, copy_id and n_links of every document.
 
@@ -143,21 +136,22 @@ def near_join(
 
     Equal sets are first reduced to one. Band hashes propose: each is followed to its bucket's
     lowest set, and the components of those few edges are the families within which links are
-    sought. A family is dealt in blocks of about ``block`` sets, and each pair of blocks is a task
+    sought. A family is dealt in blocks of about ``block`` sets, fewer where the sets are so large
+    that a block would have more than ``block_shingles`` n-grams, and each pair of blocks is a task
     that compares all its pairs of full n-gram sets, so a family of any size is compared whole
     without gathering it; only counts and labels leave a task, never pairs.
     """
     bands, rows = bands_and_rows(similarity, recall)
     signed = materialize(signatures(docs, id_col, text_col, n, bands, rows), "signatures")
-    sets = signed.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("bands").alias("bands"))
+    sets = signed.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("shingles").alias("shingles"), F.min("bands").alias("bands"))
     sets = materialize(sets.withColumn("node", F.xxhash64("set_key")), "sets")
     keyed = sets.select("node", F.explode("bands").alias("band"))
     lowest = keyed.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("m")).where("m > 1").drop("m")
     edges = keyed.join(lowest, "band").where("node <> low").select(F.col("node").alias("src"), F.col("low").alias("dst")).distinct()
     families = materialize(connected_components(edges), "families")
-    sized = families.groupBy("component").agg(F.count("*").alias("members"))
-    members = families.join(sized, "component").join(sets.select("node", "rep", "copies"), "node")
-    members = members.withColumn("blocks", F.ceil(F.col("members") / F.lit(block)).cast("int"))
+    members = families.join(sets.select("node", "rep", "copies", "shingles"), "node")
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("shingles") / F.lit(block_shingles))).cast("int")
+    members = members.join(members.groupBy("component").agg(blocks.alias("blocks")), "component")
     members = members.withColumn("mine", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(members, "rep").dropDuplicates(["node"])
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "mine").alias("a"), F.greatest(k, "mine").alias("b")))
@@ -165,7 +159,6 @@ def near_join(
     dealt = dealt.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         shingle = Shingler(n)
         names = ["node", "low", "links"]
 
@@ -177,15 +170,16 @@ def near_join(
             return pa.record_batch([pa.array(nodes, pa.int64()), pa.array([nodes[k] for k in label], pa.int64()), pa.array(links.astype(np.int64))], names=names)
 
         key, held = None, []
-        for batch in batches:
-            for component, a, b, node, copies, mine, text in zip(*[c.to_pylist() for c in batch.columns]):
-                if key != (component, a, b):
-                    if len(held) > 1:
-                        yield out(key, held)
-                    key, held = (component, a, b), []
-                held.append((node, copies, mine, shingle(text or "")))
-        if len(held) > 1:
-            yield out(key, held)
+        with uncollected():
+            for batch in batches:
+                for component, a, b, node, copies, mine, text in zip(*[c.to_pylist() for c in batch.columns]):
+                    if key != (component, a, b):
+                        if len(held) > 1:
+                            yield out(key, held)
+                        key, held = (component, a, b), []
+                    held.append((node, copies, mine, shingle(text or "")))
+            if len(held) > 1:
+                yield out(key, held)
 
     compared = materialize(dealt.mapInArrow(compare, "node long, low long, links long"), "compared")
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
