@@ -30,6 +30,11 @@ def before_after(messages: DataFrame, kept) -> DataFrame:
     )
 
 
+def totals(messages: DataFrame, kept, *by: str) -> DataFrame:
+    """Messages before and after a window, for each value of ``by`` or for all."""
+    return messages.groupBy(*by).agg(F.count("*").alias("n_before"), F.count_if(kept).alias("n_after"))
+
+
 def timeline(spans: DataFrame) -> DataFrame:
     """Adds the days before, in and after the selection of each holder.
 

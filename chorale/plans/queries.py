@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chorale.functions.names import slugs
 from chorale.operators import align, announcements, graph, identity, mapping, media, order, overlap, parsing, report
-from chorale.sources import sinks
+from chorale.sources import copies, sheets, sinks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -304,3 +305,66 @@ def merged_groups(spark, sf_dir):
     known = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("group_id"), F.col("n_nationkey").alias("member"))
     found = table(spark, sf_dir, "supplier").where("s_nationkey < 4").select(F.concat(F.lit("s"), (F.col("s_nationkey") % 2).cast("string")).alias("group_id"), F.col("s_nationkey").alias("member"))
     return mapping.merge_groups(known, found)
+
+
+@query("""SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' #' || p_brand || ' é!'), '[^a-z0-9_\\s-]', '', 'g') || 'e', '[-\\s]+', '-', 'g'), '-_') AS slug FROM part""")
+def slug_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", slugs(F.concat("p_name", F.lit(" #"), "p_brand", F.lit(" é!"))).alias("slug"))
+
+
+def _attached(spark, sf_dir):
+    """Turns whose text says that a file is attached, in one of the ways exports have."""
+    n = F.col("turn").cast("string")
+    said = (
+        F.when(F.col("turn") % 5 == 0, F.concat(F.lit("IMG-"), n, F.lit(".jpg (file attached)")))
+        .when(F.col("turn") % 5 == 1, F.concat(F.lit("IMG-"), n, F.lit(".jpg (bestand bijgevoegd)")))
+        .when(F.col("turn") % 5 == 2, F.concat(F.lit("<bijgevoegd: 0-"), n, F.lit(".opus>")))
+        .when(F.col("turn") % 5 == 3, F.lit("<Media omitted>"))
+        .otherwise(F.lit("hello"))
+    )
+    file = F.concat(F.lit("in/c"), F.col("conv_id").cast("string"), F.when(F.col("conv_id") % 2 == 0, ".zip").otherwise("/chat.txt"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", parsing.media(said, file).alias("media"))
+
+
+ATTACHED_SQL = """SELECT conv_id, turn, CASE turn % 5 WHEN 3 THEN '<Media weggelaten>' WHEN 4 THEN ''
+    ELSE 'in/c' || conv_id || CASE WHEN conv_id % 2 = 0 THEN '.zip' ELSE '' END || '/' || CASE turn % 5 WHEN 2 THEN '0-' || turn || '.opus' ELSE 'IMG-' || turn || '.jpg' END END AS media FROM conversations"""
+
+
+@query(ATTACHED_SQL)
+def attachment_extract(spark, sf_dir):
+    return _attached(spark, sf_dir)
+
+
+@query(f"""SELECT DISTINCT media, nullif(regexp_extract(media, '^(.*?\\.zip)/', 1), '') AS archive, nullif(regexp_extract(media, '^.*?\\.zip/(.+)$', 1), '') AS member,
+    regexp_replace(media, '^.*/', '') AS target FROM ({ATTACHED_SQL}) WHERE media NOT IN ('', '<Media weggelaten>')""")
+def media_copy_plan(spark, sf_dir):
+    return copies.copy_plan(_attached(spark, sf_dir).withColumn("media_to", F.lit("")))
+
+
+@query(f"""SELECT conversation_id, data_holder, count(*) AS n_before, count(*) FILTER (date > TIMESTAMP '2024-01-02 00:00:00' AND date <= TIMESTAMP '2024-03-01 00:00:00') AS n_after
+    FROM ({EXPORTS_SQL}) GROUP BY ALL""")
+def source_totals(spark, sf_dir):
+    inside = F.expr("date > timestamp_ntz'2024-01-02 00:00:00' AND date <= timestamp_ntz'2024-03-01 00:00:00'")
+    return report.totals(exports(spark, sf_dir), inside, "conversation_id", "data_holder")
+
+
+@query(f"""WITH s AS (SELECT DISTINCT data_holder || '/' || sender AS label, message AS m FROM ({EXPORTS_SQL}) WHERE length(message) >= 10 AND media = ''),
+    n AS (SELECT label, count(*) AS n FROM s GROUP BY label)
+    SELECT a.label AS a, b.label AS b, count(*) AS common, round(count(*) / least(any_value(x.n), any_value(y.n)), 6) AS score
+    FROM s a JOIN s b USING (m) JOIN n x ON x.label = a.label JOIN n y ON y.label = b.label WHERE a.label < b.label GROUP BY ALL""")
+def author_overlap(spark, sf_dir):
+    said = exports(spark, sf_dir).where((F.length("message") >= 10) & (F.col("media") == ""))
+    scores = overlap.overlap_scores(said.select(F.concat_ws("/", "data_holder", "sender").alias("label"), "message"), "label", "message")
+    return scores.select("a", "b", "common", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT CAST(conversation_id AS VARCHAR) AS conversation_id, CAST(0 AS INT) AS part, count(*) AS n_rows FROM ({EXPORTS_SQL}) WHERE data_holder = 'A' GROUP BY conversation_id")
+def workbook_rows(spark, sf_dir):
+    """Writes each conversation as a workbook and counts the rows that the workbook has."""
+    books = sheets.workbooks(exports(spark, sf_dir).where("data_holder = 'A'"), ["date", "sender", "message"], position="original_order")
+
+    def count(batches):
+        for pdf in batches:
+            yield pdf[["conversation_id", "part"]].assign(n_rows=[len(sheets.read_sheet(c)) - 1 for c in pdf["content"]])
+
+    return books.mapInPandas(count, "conversation_id string, part int, n_rows long")
