@@ -16,6 +16,7 @@ from chorale.llm.common import map_rows, uncollected
 from chorale.operators.graph import connected_components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+ROW = "chorale_row"
 
 
 def bands_and_rows(similarity: float, recall: float, rows: int = 5) -> tuple[int, int]:
@@ -68,18 +69,23 @@ class Banding:
         return (total + np.arange(self.bands, dtype=np.uint64) * MIX).view(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """Id, set_key (equal for equal n-gram sets), n-grams in the set and the band hashes of every document."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` in a written table, with a number of its own for each row in the column `ROW`."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
-    def run(keys, texts) -> Iterator[tuple]:
+
+def signatures(docs: DataFrame, row_col: str, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
+    """Row, id, set_key (equal for equal n-gram sets), n-grams in the set and the band hashes of every document."""
+
+    def run(numbers, keys, texts) -> Iterator[tuple]:
         shingle, band = Shingler(n), Banding(bands, rows)
         with uncollected():
-            for key, text in zip(keys, texts):
+            for row, key, text in zip(numbers, keys, texts):
                 s = shingle(text or "")
-                yield key, xxhash.xxh128_digest(s.tobytes()), len(s), band(s).tolist()
+                yield row, key, xxhash.xxh128_digest(s.tobytes()), len(s), band(s).tolist()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], f"id {kind}, set_key binary, shingles long, bands array<long>", run)
+    return map_rows(docs, [row_col, id_col, text_col], f"row long, id {kind}, set_key binary, shingles long, bands array<long>", run)
 
 
 def _links(sets: list[np.ndarray], copies: np.ndarray, first: np.ndarray, second: np.ndarray, similarity: float) -> tuple[np.ndarray, list[int]]:
@@ -124,6 +130,7 @@ def near_join(
     recall: float = 0.99995,
     block: int = 400,
     block_shingles: int = 2_000_000,
+    row_col: str | None = None,
 ) -> DataFrame:
     """Id, class_id, copy_id and n_links of every document.
 
@@ -131,8 +138,11 @@ def near_join(
     space between them, case kept) is at least ``similarity``. n_links counts a document's links,
     copy_id is the lowest id of those with the same set, class_id the lowest id in the connected
     component. A text of fewer words has one n-gram, of all its words; null and empty texts are
-    copies of each other. Rows that repeat an id and text are copies; null ids are left as they
-    are; an empty table gives no rows; other columns are not read.
+    copies of each other. Rows are told apart by a number of their own, never by the id: a null id is
+    no id of a class or of copies unless all its ids are null, and rows that share an id, or have
+    none, are compared and linked each by its own text. ``row_col`` names a column of distinct longs
+    in a table that reads the same every time (see `numbered`); without it, one is written here. An
+    empty table gives no rows; other columns are not read.
 
     Equal sets are first reduced to one. Band hashes propose: each is followed to its bucket's
     lowest set, and the components of those few edges are the families within which links are
@@ -142,18 +152,22 @@ def near_join(
     without gathering it; only counts and labels leave a task, never pairs.
     """
     bands, rows = bands_and_rows(similarity, recall)
-    signed = materialize(signatures(docs, id_col, text_col, n, bands, rows), "signatures")
-    sets = signed.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("shingles").alias("shingles"), F.min("bands").alias("bands"))
+    if row_col is None:
+        docs = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    else:
+        docs = docs.select(F.col(row_col).alias(ROW), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    signed = materialize(signatures(docs, ROW, "id", "text", n, bands, rows), "signatures")
+    sets = signed.groupBy("set_key").agg(F.min("row").alias("row"), F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("shingles").alias("shingles"), F.min("bands").alias("bands"))
     sets = materialize(sets.withColumn("node", F.xxhash64("set_key")), "sets")
     keyed = sets.select("node", F.explode("bands").alias("band"))
     lowest = keyed.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("m")).where("m > 1").drop("m")
     edges = keyed.join(lowest, "band").where("node <> low").select(F.col("node").alias("src"), F.col("low").alias("dst")).distinct()
     families = materialize(connected_components(edges), "families")
-    members = families.join(sets.select("node", "rep", "copies", "shingles"), "node")
+    members = families.join(sets.select("node", "row", "copies", "shingles"), "node")
     blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("shingles") / F.lit(block_shingles))).cast("int")
     members = members.join(members.groupBy("component").agg(blocks.alias("blocks")), "component")
     members = members.withColumn("mine", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(members, "rep").dropDuplicates(["node"])
+    texts = docs.select(F.col(ROW).alias("row"), "text").join(members, "row")
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "mine").alias("a"), F.greatest(k, "mine").alias("b")))
     dealt = texts.select("component", "node", "copies", "mine", "text", F.explode(other).alias("pair")).select("component", "pair.a", "pair.b", "node", "copies", "mine", "text")
     dealt = dealt.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "node")
