@@ -14,11 +14,6 @@ from chorale.llm.queries import table, tokenizer_path
 ORACLE_SQL = None
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The columns of ``docs`` where the id is in ``ids`` (a column keep_id). Rows that share an id are one document."""
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["keep_id"]), "left_semi").dropDuplicates(["doc_id"])
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels of this stage's documents, takes for clean."""
     ship(spark)
@@ -34,10 +29,16 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents, the one with the lowest id."""
+    """Of each class of linked documents, one row: that of the lowest id, null ids last.
+
+    Rows are told apart by number, so those of null or repeated ids each stay unless their texts are linked.
+    """
     ship(spark)
-    classes = near_join.near_join(docs, n=5, similarity=0.8)
-    return _kept(docs, classes.select(F.col("class_id").alias("keep_id")).distinct())
+    rows = near_join.numbered(docs)
+    classes = near_join.near_join(rows, id_col=near_join.ROW, n=5, similarity=0.8, row_col=near_join.ROW).select(near_join.ROW, "class_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(near_join.ROW).alias("row"))
+    least = rows.select(near_join.ROW, "doc_id").join(classes, near_join.ROW).groupBy("class_id").agg(F.min(order).alias("least"))
+    return rows.join(least.select(F.col("least.row").alias(near_join.ROW)), near_join.ROW, "left_semi").drop(near_join.ROW)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

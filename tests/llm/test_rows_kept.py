@@ -1,8 +1,9 @@
-"""Rows of null and repeated ids in the similarity join."""
+"""Rows of null and repeated ids in the similarity join and in the pipeline's stage that drops copies."""
 
 import random
 from collections import Counter
 
+import corpus_pipeline
 from chorale.llm import near_join
 from tests.llm.test_operators import _brute_links
 
@@ -42,3 +43,16 @@ def test_near_join_of_null_and_repeated_ids(spark):
     got = near_join.near_join(docs, block=4).collect()
     want = Counter((r[0], lowest[root[k]], degree[k]) for k, r in enumerate(rows))
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == want
+
+
+def test_drop_copies_keeps_one_row_of_each_class(spark):
+    rows = _rows()
+    _, root = _classes(rows)
+    got = corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, n long"), "")
+    assert got.columns == ["doc_id", "text", "n"]
+    kept = sorted(map(tuple, got.collect()), key=lambda r: r[2])
+    assert all(r == rows[r[2]] for r in kept)
+    assert Counter(root[r[2]] for r in kept) == Counter(set(root))
+    for i, _, n in kept:
+        ids = [r[0] for k, r in enumerate(rows) if root[k] == root[n] and r[0] is not None]
+        assert i == min(ids, default=None)
