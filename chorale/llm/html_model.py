@@ -21,6 +21,7 @@ WORD = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg object math canvas".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol dl table select".split())
@@ -41,7 +42,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     stack: list[tuple[str, int]] = [("#root", 0)]
     runs: list[tuple[int, str]] = []
     held: list[str] = []
-    linked, skip = 0, ""
+    linked, at = 0, 0
 
     def flush() -> None:
         if held:
@@ -50,12 +51,9 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if text:
                 runs.append((stack[-1][1], text))
 
-    for m in TOKEN.finditer(html):
+    while m := TOKEN.match(html, at):
+        at = m.end()
         close, tag, attributes, text = m.groups()
-        if skip:
-            if tag and close and tag.lower() == skip:
-                skip = ""
-            continue
         if text is not None:
             text = unescape(text) if "&" in text else text
             held.append(text)
@@ -100,7 +98,9 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if stack[k][0] in HOLDS:
                     break
         if tag in RAW:
-            skip = "" if attributes.endswith("/") else tag
+            if not attributes.endswith("/"):  # what it holds is no markup, up to its own closing tag
+                end = RAW_END[tag].search(html, at)
+                at = end.end() if end else len(html)
             continue
         names, mark = [], None
         if attributes:
