@@ -6,6 +6,7 @@ import math
 import random
 import re
 import uuid
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from html import unescape
@@ -14,15 +15,25 @@ from pyspark.sql import DataFrame
 
 from chorale.llm.common import built, map_rows
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+)|<", re.S)
-MARK = re.compile(r"(class|id|role|type|data-content)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: An attribute: its name, and a value in double quotes, in single quotes or in none. A quote anywhere else is a character like others.
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)(?:>|\Z)"
+    r"|([^<]++)|<",
+    re.S,
+)
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
+NAMED = frozenset("class id role type".split())
 WORD = re.compile(r"[a-z]+")
 #: Kinds of elements in HTML.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg object math canvas".split())
+INLINE = frozenset("a abbr acronym annotation b bdi bdo big cite code data del dfn em font i ins kbd mark math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr".split())
+INLINE_BOX = frozenset("audio button canvas iframe label map noscript object picture select svg template textarea video".split())
+VOID = frozenset("area base col embed hr img input link meta param source track".split())
+RAW = frozenset("script style".split())
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+P_BOUNDS = frozenset("button caption object table td template th".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol dl table select".split())
 
@@ -36,35 +47,88 @@ class Node:
         self.links = 0
 
 
-def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block elements in page order, parents first, and the runs of text between block boundaries."""
+class _Open:
+    """The elements that are open, with the places of each tag among them, so that none is searched for."""
+
+    def __init__(self):
+        self.tags, self.nodes = ["#root"], [0]
+        self.where: dict[str, list[int]] = defaultdict(list)
+        self.holds: list[int] = [0]
+        self.p_bounds: list[int] = [0]
+
+    def push(self, tag: str, node: int) -> None:
+        at = len(self.tags)
+        self.tags.append(tag)
+        self.nodes.append(node)
+        self.where[tag].append(at)
+        if tag in HOLDS:
+            self.holds.append(at)
+        if tag in P_BOUNDS:
+            self.p_bounds.append(at)
+
+    def cut(self, at: int) -> None:
+        while len(self.tags) > at:
+            tag = self.tags.pop()
+            self.nodes.pop()
+            self.where[tag].pop()
+            if tag in HOLDS:
+                self.holds.pop()
+            if tag in P_BOUNDS:
+                self.p_bounds.pop()
+
+    def close(self, tag: str) -> None:
+        places = self.where.get(tag)
+        if places and not (tag in SIBLINGS and self.holds[-1] > places[-1]):
+            self.cut(places[-1])
+
+    def make_room(self, tag: str) -> None:
+        """Close what ``tag`` ends by opening: a paragraph, or the items and cells before it."""
+        if tag in CLOSES_P:
+            if places := self.where.get("svg"):  # a drawing holds no blocks, so it ends here
+                self.cut(places[0])
+            places = self.where.get("p")
+            if places and places[-1] > self.p_bounds[-1]:
+                self.cut(places[-1])
+        elif tag in SIBLINGS:
+            ends = [places[k] for t in SIBLINGS[tag] if (places := self.where.get(t)) and (k := bisect_right(places, self.holds[-1])) < len(places)]
+            if ends:
+                self.cut(min(ends))
+
+
+def parse(html: str) -> tuple[list[Node], list[list[tuple[int, str]]]]:
+    """Elements in page order, parents first, and the runs of text between block boundaries.
+
+    A run is a list of pieces of text, each with the element that it stands in. Elements of inline
+    kinds are no nodes of their own; boxes that stand in a line, such as pictures, buttons and
+    ``noscript``, are nodes but part no run. Scripts and styles are left out up to their own closing
+    tag. Every tag is handled in time that does not grow with the depth of the page.
+    """
     nodes = [Node("#root", -1, [], None)]
-    stack: list[tuple[str, int]] = [("#root", 0)]
-    runs: list[tuple[int, str]] = []
-    held: list[str] = []
+    stack = _Open()
+    runs: list[list[tuple[int, str]]] = []
+    held: list[tuple[int, str]] = []
     linked, at = 0, 0
 
     def flush() -> None:
         if held:
-            text = " ".join("".join(held).split())
+            if any(not text.isspace() for _, text in held):
+                runs.append(held[:])
             held.clear()
-            if text:
-                runs.append((stack[-1][1], text))
 
     while m := TOKEN.match(html, at):
         at = m.end()
         close, tag, attributes, text = m.groups()
         if text is not None:
             text = unescape(text) if "&" in text else text
-            held.append(text)
-            node = nodes[stack[-1][1]]
+            node = nodes[stack.nodes[-1]]
+            held.append((stack.nodes[-1], text))
             node.text += len(text)
             if linked:
                 node.links += len(text)
             continue
         if tag is None:
             if m.group() == "<":
-                held.append("<")
+                held.append((stack.nodes[-1], "<"))
             continue
         tag = tag.lower()
         if tag in INLINE:
@@ -72,48 +136,36 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 linked = 0 if close else 1
             continue
         if tag == "br":
-            held.append(" ")
+            held.append((stack.nodes[-1], " "))
             continue
-        flush()
         if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in SIBLINGS and stack[k][0] in HOLDS:
-                    break
+            if not stack.where["svg"] and (tag not in INLINE_BOX or stack.tags[-1] not in INLINE_BOX):
+                flush()
+            if tag not in ("body", "html"):  # what stands behind them belongs to the body too
+                stack.close(tag)
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] != "li" and stack[k][0] in CLOSES_P:
-                    break
-        elif tag in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in SIBLINGS[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in HOLDS:
-                    break
+        shut = SELF_CLOSED.search(attributes) is not None
         if tag in RAW:
-            if not attributes.endswith("/"):  # what it holds is no markup, up to its own closing tag
+            if not shut:  # what it holds is no markup, up to its own closing tag
                 end = RAW_END[tag].search(html, at)
                 at = end.end() if end else len(html)
             continue
+        if tag in CLOSES_P or not (tag in VOID or tag in INLINE_BOX or stack.where["svg"]):
+            flush()
+        stack.make_room(tag)
         names, mark = [], None
         if attributes:
-            for key, *value in MARK.findall(attributes):
-                value = "".join(value).lower()
-                if key.lower() == "data-content":
-                    mark = value
-                else:
-                    names.extend(WORD.findall(value))
-        nodes.append(Node(tag, stack[-1][1], names, mark))
-        if tag not in VOID and not attributes.endswith("/"):
-            stack.append((tag, len(nodes) - 1))
-            linked = 0
+            for key, *value in ATTRIBUTE.findall(attributes):
+                key = key.lower()
+                if key in NAMED:
+                    names.extend(WORD.findall("".join(value).lower()))
+                elif key == "data-content":
+                    mark = "".join(value)
+        nodes.append(Node(tag, stack.nodes[-1], names, mark))
+        if tag not in VOID and not shut:
+            stack.push(tag, len(nodes) - 1)
+            if tag not in INLINE_BOX:
+                linked = 0
     flush()
     return nodes, runs
 
@@ -182,7 +234,8 @@ class TreeModel:
         if not runs:
             return ""
         content = self.marginals(nodes)
-        return "\n".join([text for node, text in runs if content[node] > 0.5])
+        kept = (" ".join("".join([text for node, text in run if content[node] > 0.5]).split()) for run in runs)
+        return "\n".join(filter(None, kept))
 
 
 #: Words that pages commonly use as names of their parts.
@@ -200,6 +253,23 @@ ASIDE = {
 }
 
 
+#: Names that say nothing of what a part holds.
+PLAIN = "a b x y z row col block inner wrap section paragraph lead intro part one two".split()
+#: What stands in a line of a page: formulas and fallbacks belong to the text around them, the rest does not.
+BOXES = [
+    "<img src='x' alt='y'>",
+    "<math><mi>{}</mi></math>",
+    "<object>{}</object>",
+    '<svg data-content="0"><title>{}</title></svg>',
+    '<noscript data-content="0">{}</noscript>',
+    '<iframe data-content="0">{}</iframe>',
+    '<video data-content="0">{}</video>',
+    '<canvas data-content="0">{}</canvas>',
+    '<template data-content="0">{}</template>',
+    '<button data-content="0">{}</button>',
+]
+
+
 def labelled_pages(n: int, seed: int = 7) -> Iterator[str]:
     """Made-up pages with labels, in many layouts. Words are arbitrary; only their number matters."""
     rng = random.Random(seed)
@@ -231,6 +301,14 @@ def labelled_pages(n: int, seed: int = 7) -> Iterator[str]:
             return f"<pre>{words(3, 30)}</pre>"
         if kind < 0.38:
             return f"<p><b>{sentence(2, 12)}<br>"
+        if kind < 0.44:
+            return f"<p>{words(1, 9)} {rng.choice(BOXES).format(words(1, 9))} {sentence(1, 20)}</p>"
+        if kind < 0.46:
+            return rng.choice(BOXES).format(words(1, 12))
+        if kind < 0.56:
+            some = "" if rng.random() < 0.4 else f' class="{rng.choice(PLAIN)}"'
+            inner = rng.choice([sentence(2, 12), sentence(5, 60), f"<p>{sentence(2, 40)}</p><p>{sentence(2, 40)}</p>", f"<h3>{words(1, 6)}</h3>{sentence(2, 40)}"])
+            return f"<{(t := rng.choice(['div', 'div', 'section', 'figure']))}{some}>{inner}</{t}>"
         link = f' <a href="/y">{words(1, 3)}</a>' if rng.random() < 0.2 else ""
         return f"<p>{sentence(1, rng.choice([6, 40, 120]))}{link}" + ("</p>" if rng.random() < 0.9 else "")
 
@@ -244,7 +322,7 @@ def labelled_pages(n: int, seed: int = 7) -> Iterator[str]:
             "header": lambda: rng.choice([f"<h1>{words(1, 4)}</h1>", f"<p>{words(1, 6)}</p>", words(1, 4)]) + (links(4) if rng.random() < 0.4 else ""),
             "footer": lambda: rng.choice(["&copy; " + sentence(2, 14), f"<p>&copy; {sentence(2, 12)}</p>", links(4)]),
             "aside": lambda: f"<h3>{words(1, 4)}</h3>" + rng.choice([links(4), f"<p>{sentence(4, 30)}</p>"]),
-            "notice": lambda: rng.choice([sentence(5, 30), f"<p>{sentence(5, 30)}</p><button>{words(1, 2)}</button>"]),
+            "notice": lambda: rng.choice([sentence(5, 30), f"<noscript>{sentence(3, 20)}</noscript>", f"<p>{sentence(5, 30)}</p><button>{words(1, 2)}</button>"]),
             "ad": lambda: rng.choice([sentence(3, 25), f"<p>{sentence(3, 25)}</p>", f'<a href="/z">{words(2, 6)}</a>']),
             "form": lambda: f"<label>{words(1, 3)}</label><input type=\"text\"><button>{words(1, 2)}</button>" + (f"<p>{sentence(3, 15)}</p>" if rng.random() < 0.5 else ""),
             "comments": lambda: f"<h3>{words(1, 3)}</h3>" + "".join(f'<div class="comment"><p>{sentence(3, 60)}</p></div>' if rng.random() < 0.6 else f"<p>{sentence(3, 60)}</p>" for _ in range(rng.randint(1, 4))),
@@ -283,9 +361,11 @@ def extract(
     The model is trained on ``labelled`` pages (see `TreeModel`), by default 1,500 made-up ones. A
     block is the text between two block boundaries, white space turned into single spaces and
     character references decoded; blocks whose element is content with a probability over 1/2 are
-    joined by line breaks in page order. Scripts, styles and comments are no text. Null and empty
-    pages, and pages without content, give an empty text. Repeated rows are read one by one, an
-    empty table gives no rows, and broken or cut-off markup is read as far as it goes.
+    joined by line breaks in page order; a piece of a block that stands in an element of its own,
+    such as a button, is judged by that element. Scripts, styles and comments are no text. Null and
+    empty pages, and pages without content, give an empty text. Repeated rows are read one by one,
+    an empty table gives no rows, other columns are not read, and broken, deep or cut-off markup is
+    read as far as it goes, in time in proportion to a page's length.
     """
     sent = pages.sparkSession.sparkContext.broadcast(TreeModel(labelled if labelled is not None else labelled_pages(1500)))
     token = uuid.uuid4().hex
