@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorale.llm.common import built, map_rows
@@ -122,26 +122,32 @@ def url_filter(
     url_col: str = "url",
     default: str = "allow",
     max_trie_rules: int = 500_000,
+    max_trie_chars: int = 50_000_000,
 ) -> DataFrame:
     """Judge every url: id, url, host, path, rule (null: none fits) and verdict.
 
     ``rules`` is a list of `Rule` or a DataFrame (verdict, host, path). A rule fits its host and
     all subdomains where the url's path starts with the rule's path; the longest rule wins, then
-    the one with the longer host, then block. Up to ``max_trie_rules`` rules the trie is broadcast;
-    a larger table of rules is joined instead, with the same result.
+    the one with the longer host, then block. A-Z of a rule's host are lower-cased and its path gets
+    a leading slash where it lacks one; a null path fits every path, and rules of null verdict or
+    host are left out. Up to ``max_trie_rules`` rules of ``max_trie_chars`` characters in all the
+    trie is broadcast; a larger table of rules is joined instead, with the same result.
 
     Null urls and urls without ``://`` have an empty host and path, no rule and the default verdict.
-    Repeated rows are judged one by one, an empty table gives an empty result, and other columns
-    are left out, so their names cannot clash.
+    Repeated rows and repeated rules are read one by one, an empty table gives an empty result,
+    without rules every url has the default verdict, urls of any length are read whole, and other
+    columns are left out, so their names cannot clash.
     """
-    if isinstance(rules, DataFrame):
-        head = rules.select("verdict", "host", "path").limit(max_trie_rules + 1).collect()
-        if len(head) > max_trie_rules:
+    if not isinstance(rules, DataFrame):
+        rules = [_normal(r) for r in rules if r.verdict is not None and r.host is not None]
+        if len(rules) > max_trie_rules or sum(len(r.text) for r in rules) > max_trie_chars:
+            return _joined(pages, pages.sparkSession.createDataFrame(rules, "verdict string, host string, path string"), id_col, url_col, default)
+    else:
+        rules = _normal_table(rules)
+        n, chars = rules.agg(F.count("*"), F.coalesce(F.sum(F.length("host") + F.length("path")), F.lit(0))).first()
+        if n > max_trie_rules or chars > max_trie_chars:
             return _joined(pages, rules, id_col, url_col, default)
-        rules = [Rule(*r) for r in head]
-    elif len(rules) > max_trie_rules:
-        table = pages.sparkSession.createDataFrame(rules, "verdict string, host string, path string")
-        return _joined(pages, table, id_col, url_col, default)
+        rules = [Rule(*r) for r in rules.collect()]  # as many as were just counted
     token = uuid.uuid4().hex
     trie = pages.sparkSession.sparkContext.broadcast(pickle.dumps(UrlTrie(rules)))
 
@@ -156,13 +162,30 @@ def url_filter(
     return map_rows(pages, [id_col, url_col], f"`{id_col}` {kind}, `{url_col}` string, host string, path string, rule string, verdict string", judge)
 
 
+def _normal(rule: Rule) -> Rule:
+    path = rule.path or ""
+    return Rule(rule.verdict, rule.host.translate(ASCII_LOWER), path if path[:1] in ("", "/") else "/" + path)
+
+
+def _normal_table(rules: DataFrame) -> DataFrame:
+    path = F.coalesce("path", F.lit(""))
+    path = F.when((path == "") | path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    return rules.where("verdict is not null and host is not null").select("verdict", _lower(F.col("host")).alias("host"), path.alias("path"))
+
+
+def _lower(host: Column) -> Column:
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def _joined(pages: DataFrame, rules: DataFrame, id_col: str, url_col: str, default: str) -> DataFrame:
     """Equi-join of each url's (host suffix, path prefix) keys with the rules' keys.
 
     Only prefixes as long as some rule's path are made; their number is bounded by a url's length.
     """
-    rest = F.when(F.instr(url_col, "://") > 0, F.substring_index(F.regexp_replace(url_col, r"^(?s).*?://", "\u0001"), "\u0001", -1))
-    host = F.coalesce(F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    url = F.col(url_col)
+    mark = F.instr(url, "://")
+    rest = F.when(mark > 0, F.substring(url, mark + 3, F.length(url)))
+    host = F.coalesce(_lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
     base = pages.select(F.col(id_col), F.col(url_col), host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
