@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import math
 import re
@@ -17,7 +18,10 @@ from chorale.functions.storage import materialize
 from chorale.llm.common import map_rows
 
 PIECES = "`{id}` {kind}, piece int, start long, length long, ids_crc32 long"
-PLACED = "`{id}` {kind}, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, gap long, bound long"
+
+
+#: Longer strings are worked out anew each time, so that a memory of n strings has a bound in bytes.
+LONGEST_KEPT = 64
 
 
 class ChunkEncoder:
@@ -66,7 +70,9 @@ class ChunkEncoder:
             if ids is None:
                 if len(self.units) >= self.max_chunks:
                     self.units.clear()
-                ids = self.units[unit] = self._unit(unit)
+                ids = self._unit(unit)
+                if len(unit) <= LONGEST_KEPT:
+                    self.units[unit] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -80,7 +86,10 @@ class ChunkEncoder:
                 self.known.clear()
             for i, ids in enumerate(found):
                 if ids is None:
-                    found[i] = self.known[chunks[i]] = self._chunk(chunks[i])
+                    chunk = chunks[i]
+                    found[i] = ids = self._chunk(chunk)
+                    if len(chunk) <= LONGEST_KEPT:
+                        self.known[chunk] = ids
         return b"".join(found)
 
 
@@ -166,11 +175,15 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _pack_part(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Pack a partition. Its bound certifies it where no packing of its pieces has fewer bins; then all
+    its bins stand but the emptiest, else only the full ones. The others' pieces go on."""
     rows = rows.sort_values(["length", *rows.columns.drop(["part", "length"])], ascending=False, kind="stable", ignore_index=True)
     lengths = rows["length"].to_numpy()
     bins, offsets, free = best_fit_decreasing(lengths, capacity)
-    bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-    return rows.assign(bin=bins, offset=offsets, gap=free[bins], bound=bound)
+    goes_on = free > 0
+    if len(free) == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity):
+        goes_on &= np.arange(len(free)) == free.argmax()
+    return rows.assign(bin=bins, offset=offsets, gap=free[bins], goes_on=goes_on[bins])
 
 
 def _histogram(df: DataFrame, capacity: int) -> np.ndarray:
@@ -196,45 +209,61 @@ def pack(
 
     A document is its ids and ``end_id``. Only longer ones are cut, into pieces of ``capacity``.
     Pieces are dealt to partitions by hash, each packed best fit decreasing. A dual-feasible bound
-    certifies a partition whose bins are as few as any packing of its pieces needs; the same bound
-    over all lengths certifies the whole. While the whole is not certified, full bins stand and the
-    pieces of all bins with free space are dealt anew, to fewer partitions and among other
-    neighbours, and packed again; a round that saves no bin is dropped and ends the work.
+    certifies a partition whose bins are as few as any packing of its pieces needs: its bins stand,
+    but for the emptiest. Of a partition that is not certified only the full bins stand. The pieces
+    of the other bins are exchanged: dealt anew, to fewer partitions and among other neighbours, and
+    packed again, until a round needs as many bins as were opened for it; that round is dropped. The
+    same bound over all lengths certifies the whole and ends the work. Where it does not yet, as the
+    certificates of partitions speak of their own pieces only, the pieces of all bins with free
+    space are exchanged in the same way.
 
     Per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and the free space ``gap``
     of its sequence. Null and empty texts give one piece of one token (the end id). Repeated rows
     are packed as often as they occur; an empty table gives no rows; other columns are not read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    placed = PLACED.format(id=id_col, kind=kind)
-    names = [id_col, "piece", "start", "length", "ids_crc32"]
-    pieces = materialize(token_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, max_chunks), "pieces")
+    pieces = token_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, max_chunks)
+    return pack_pieces(pieces, capacity, part_rows, max_rounds)
+
+
+def pack_pieces(pieces: DataFrame, capacity: int, part_rows: int, max_rounds: int = 8) -> DataFrame:
+    """The pieces, of any columns with a ``length`` of 1 to ``capacity``, and the sequence_id, offset and
+    gap that `pack` gives them. Equal rows are told apart by a number, so they too are dealt evenly."""
+    names = pieces.columns
+    pieces = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    placed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", part long, bin long, offset long, gap long, goes_on boolean"
     need = lower_bound(_histogram(pieces, capacity), capacity)
-    done: DataFrame | None = None
-    todo, kept_bins = pieces, 0
-    best: tuple[DataFrame, int] | None = None
-    for turn in range(max_rounds):
-        n = todo.count()
-        if not n:
-            break
-        parts = max(1, math.ceil(n / part_rows))
-        dealt = todo.select(*names, F.pmod(F.xxhash64(F.lit(turn), *names), F.lit(parts)).alias("part"))
-        packed = materialize(dealt.groupBy("part").applyInPandas(lambda rows: _pack_part(rows, capacity), placed), f"packed{turn}")
-        packed = packed.withColumn("sequence_id", F.lit(turn << 56) + F.shiftleft("part", 32) + F.col("bin"))
-        sums = packed.where("offset = 0").agg(F.count("*"), F.coalesce(F.sum((F.col("gap") == 0).cast("long")), F.lit(0))).first()
-        bins, full = sums[0], sums[1]
-        if best is not None and bins >= best[1]:
-            break
-        if best is not None:
-            shut = best[0].where("gap = 0")
-            done = shut if done is None else done.unionByName(shut)
-        best = (packed, bins)
-        if kept_bins + bins <= need:
-            break
-        kept_bins += full
-        todo = packed.where("gap > 0")
-    if best is None:
-        return pieces.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("gap"))
+    turns = iter(range(max_rounds))
+
+    def rounds(todo: DataFrame, opened: int | None, beside: int, flag: str) -> tuple[DataFrame, int]:
+        """``todo``, now in ``opened`` bins, packed until a round saves nothing, and all bins there are then.
+
+        ``beside`` counts the bins that stand already, and ``flag`` tells which pieces of a round go
+        on to the next.
+        """
+        stands: list[DataFrame] = []  # pieces in bins that no later round opens
+        last, total = todo, beside + (opened or 0)
+        for turn in turns:
+            parts = max(1, math.ceil(todo.count() / part_rows))
+            dealt = todo.select(*names, "row", F.pmod(F.xxhash64(F.lit(turn), "row"), F.lit(parts)).alias("part"))
+            packed = materialize(dealt.groupBy("part").applyInPandas(lambda rows: _pack_part(rows, capacity), placed), f"packed{turn}")
+            packed = packed.withColumn("sequence_id", F.lit(turn << 56) + F.shiftleft("part", 32) + F.col("bin"))
+            bins, open_bins = packed.where("offset = 0").agg(F.count("*"), F.count_if(F.expr(flag))).first()
+            if opened is not None and bins >= opened:
+                break
+            if opened is not None and last is not todo:
+                stands.append(last.where(f"not ({flag})"))
+            last, total = packed, beside + bins
+            if total <= need or open_bins < 2:
+                break
+            beside, opened, todo = total - open_bins, open_bins, packed.where(flag)
+        return functools.reduce(DataFrame.unionByName, stands, last), total
+
     out = [*names, "sequence_id", "offset", "gap"]
-    result = best[0].select(*out)
-    return result if done is None else result.unionByName(done.select(*out))
+    if pieces.isEmpty():
+        return pieces.select(*names, *[F.lit(0).cast("long").alias(c) for c in out[len(names) :]])
+    result, total = rounds(pieces, None, 0, "goes_on")
+    if total > need:
+        open_bins = result.where("gap > 0 and offset = 0").count()
+        again, _ = rounds(result.where("gap > 0"), open_bins, total - open_bins, "gap > 0")
+        result = result.where("gap = 0").unionByName(again)
+    return result.select(*out)

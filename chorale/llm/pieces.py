@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from chorale.llm.common import map_rows
 
 SPACE = "▁"
+#: Longer words and segments are not remembered, so that a memory of n entries has a bound in bytes.
+LONGEST_KEPT = 64
 
 
 class PieceCoder:
@@ -49,6 +51,7 @@ class PieceCoder:
         self.beside = {a + b for p in self.ids for a, b in zip(p, p[1:])}
         self.segments: dict[str, list[int]] = {}
         self.words: dict[str, tuple[str, bytes]] = {}
+        self.passing: list[str] = []  # long words, forgotten after the texts at hand
 
     def _merge(self, text: str) -> list[int]:
         rank = self.rank.get
@@ -92,7 +95,7 @@ class PieceCoder:
                     if len(self.segments) >= self.max_chunks:
                         self.segments.clear()
                     ids = self._merge(segment)
-                    if len(segment) <= 64:
+                    if len(segment) <= LONGEST_KEPT:
                         self.segments[segment] = ids
                 out.extend(ids)
                 start = end
@@ -179,6 +182,8 @@ class PieceCoder:
                 raise RuntimeError(f"ids of {word!r} differ from the library's")
             decoded = self._decode(ids) if any(i in of_byte for i in ids) else b"".join([raw[i] for i in ids])
             self.words[word] = ",".join([shown[i] for i in ids]), decoded
+            if len(word) > LONGEST_KEPT:
+                self.passing.append(word)
 
     def _chunks(self, text: str) -> list[str]:
         """Words with the marks before them; line breaks by themselves, as no piece holds one."""
@@ -217,6 +222,9 @@ class PieceCoder:
             self._learn(list({c for k in short for c, f in zip(lists[k], rows[k]) if f is None}))
             for k in short:
                 rows[k] = list(map(known, lists[k]))
+            for word in self.passing:
+                del self.words[word]
+            self.passing.clear()
             for found in rows:
                 ids = ",".join([a for a, _ in found])
                 decoded = b"".join([b for _, b in found]).removeprefix(b" ")
