@@ -17,6 +17,8 @@ from chorale.functions.storage import materialize
 from chorale.llm.common import built, map_rows
 
 MIN_N, MAX_N = 3, 6
+#: Longer words are worked out anew each time, so that a memory of n words has a bound in bytes.
+LONGEST_KEPT = 64
 
 
 def words(text: str) -> set[str]:
@@ -31,43 +33,132 @@ def grams(word: str, bits: int) -> set[int]:
 
 
 class GramCache:
-    """Buckets of words, remembered for at most ``limit`` words."""
+    """Buckets of words; short words are remembered, ``limit`` of them at most."""
 
-    def __init__(self, bits: int, limit: int = 200_000):
+    def __init__(self, bits: int, limit: int = 100_000):
         self.bits, self.limit, self.known = bits, limit, {}
 
-    def __call__(self, word: str) -> list[int]:
+    def __call__(self, word: str) -> np.ndarray:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            found = self.known[word] = list(grams(word, self.bits))
+            found = np.fromiter(grams(word, self.bits), dtype=np.int64)
+            if len(word) <= LONGEST_KEPT:
+                if len(self.known) >= self.limit:
+                    self.known.clear()
+                self.known[word] = found
         return found
 
 
 class Model(NamedTuple):
     bits: int
-    weights: dict[int, float]  # of the chosen buckets; ratio and coefficient multiplied
+    weights: np.ndarray  # of every bucket; ratio and coefficient multiplied
     bias: float
 
 
-def fit_linear(rows: list[tuple[int, list[int]]], ratios: np.ndarray, penalty: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on counts scaled by ``ratios``, by gradient steps of adaptive size."""
-    y = np.array([label for label, _ in rows], dtype=np.float64)
-    owner = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
-    column = np.fromiter((c for _, f in rows for c in f), dtype=np.int64, count=len(owner))
-    value = ratios[column]
-    w, b = np.zeros(len(ratios)), 0.0
+class Rows(NamedTuple):
+    """Documents as a sparse matrix: ``count`` of distinct words with the gram ``bucket``, in row order."""
+
+    label: np.ndarray
+    bucket: np.ndarray
+    count: np.ndarray
+    size: np.ndarray  # buckets of each document
+
+
+def fit_linear(rows: Rows, ratios: np.ndarray, w: np.ndarray, b: float, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+    """Logistic regression on counts scaled by ``ratios``, from ``w`` and ``b`` on by gradient steps of
+    adaptive size. Both classes weigh the same."""
+    used, column = np.unique(rows.bucket, return_inverse=True)
+    value = rows.count * ratios[rows.bucket]
+    y = rows.label.astype(np.float64)
+    owner = np.repeat(np.arange(len(y)), rows.size)
     balance = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    out, v = w.copy(), w[used]
+    m1, m2 = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
-        z = np.bincount(owner, value * w[column], minlength=len(rows)) + b
+        z = np.bincount(owner, value * v[column], minlength=len(y)) + b
         e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * balance
-        g = np.append(np.bincount(column, value * e[owner], minlength=len(w)) + penalty * 1e-4 * w, e.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        d = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        w, b = w - d[:-1], b - d[-1]
-    return w, b
+        g = np.append(np.bincount(column, value * e[owner], minlength=len(v)) + penalty * v, e.sum())
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+        d = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
+        v, b = v - d[:-1], b - d[-1]
+    out[used] = v
+    return out, b
+
+
+def log_count_ratios(without: np.ndarray, with_: np.ndarray, clean: int, toxic: int, smoothing: float, doubt: float) -> np.ndarray:
+    """Naive Bayes log-count ratio of each bucket, nearer to 0 by ``doubt`` standard errors."""
+    a, b = smoothing * toxic / (clean + toxic), smoothing * clean / (clean + toxic)
+    ratio = np.log((with_ + a) / (toxic + 2 * a)) - np.log((without + b) / (clean + 2 * b))
+    error = np.sqrt(1 / (with_ + a) - 1 / (toxic + 2 * a) + 1 / (without + b) - 1 / (clean + 2 * b))
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - doubt * error, 0.0)
+
+
+def _features(sample: DataFrame, text_col: str, bits: int) -> DataFrame:
+    """Label and, as packed numbers, the buckets of each document and the distinct words that have them."""
+
+    def run(labels_, texts) -> Iterator[tuple]:
+        cache = GramCache(bits)
+        for label, text in zip(labels_, texts):
+            found = [cache(w) for w in words(text or "")]
+            bucket, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0), np.zeros(0))
+            yield label, bucket.astype("<i4").tobytes(), np.minimum(count, 65535).astype("<u2").tobytes()
+
+    return map_rows(sample, ["label", text_col], "label int, bucket binary, count binary", run)
+
+
+def _tally(features: DataFrame, bits: int) -> np.ndarray:
+    """Documents of each class that have a bucket: 2 x buckets. A task adds up its own, so the driver gets a row a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << bits), dtype="<i4")
+        for batch in batches:
+            for label, bucket in zip(batch.column("label").to_pylist(), batch.column("bucket")):
+                total[label, np.frombuffer(bucket.as_buffer(), dtype="<i4")] += 1
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    total = np.zeros((2, 1 << bits))
+    for row in features.select("label", "bucket").mapInArrow(run, "total binary").toLocalIterator():
+        total += np.frombuffer(row["total"], dtype="<i4").reshape(2, -1)
+    return total
+
+
+def _mixed(features: DataFrame, ratios: np.ndarray, w: np.ndarray, b: float, penalty: float, steps: int, held: int) -> tuple[np.ndarray, float]:
+    """The mean, by documents, of the models that tasks learn from their own documents, ``held`` gram counts at a time."""
+    sent = features.sparkSession.sparkContext.broadcast((ratios, w, b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios, w, b = sent.value
+        total, bias, n = np.zeros(len(w)), 0.0, 0
+        rows: list[tuple] = []
+
+        def learn() -> None:
+            nonlocal total, bias, n
+            label, bucket, count = zip(*rows)
+            size = np.array([len(x) for x in bucket])
+            some = Rows(np.array(label), np.concatenate(bucket), np.concatenate(count).astype(np.float64), size)
+            v, c = fit_linear(some, ratios, w, b, penalty, steps)
+            total, bias, n = total + len(rows) * v, bias + len(rows) * c, n + len(rows)
+            rows.clear()
+
+        waiting = 0
+        for batch in batches:
+            for label, bucket, count in zip(*[c.to_pylist() for c in batch.columns]):
+                bucket, count = np.frombuffer(bucket, dtype="<i4"), np.frombuffer(count, dtype="<u2")
+                told = ratios[bucket] != 0
+                rows.append((label, bucket[told], count[told]))
+                waiting += len(rows[-1][1])
+                if waiting >= held:
+                    learn()
+                    waiting = 0
+        if rows:
+            learn()
+        if n:
+            yield pa.record_batch([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["n", "total", "bias"])
+
+    total, bias, n = np.zeros(len(w)), 0.0, 0
+    for row in features.select("label", "bucket", "count").mapInArrow(run, "n long, total binary, bias double").toLocalIterator():
+        total, bias, n = total + np.frombuffer(row["total"]), bias + row["bias"], n + row["n"]
+    return total / n, bias / n
 
 
 def fit(
@@ -78,62 +169,61 @@ def fit(
     label_col: str = "toxic",
     max_docs: int = 8_000,
     bits: int = 18,
-    max_features: int = 1_024,
+    smoothing: float = 2.0,
+    doubt: float = 1.0,
+    penalty: float = 1e-4,
+    rounds: int = 2,
+    steps: int = 100,
+    part_docs: int = 1_000,
+    held: int = 8_000_000,
 ) -> Model:
     """Learn from at most ``max_docs`` labelled documents, half of each class where there are enough.
 
-    Which ones is decided by a hash of the id. Executors count the documents of each class that
-    have an n-gram bucket; the ``max_features`` buckets whose log-count ratio is surest stay, and
-    the classifier learns on their counts of distinct words, scaled by the ratios.
+    Which ones is decided by a hash of the id; labels of null ids, null labels and documents without
+    a label teach nothing. Every bucket of the 2 ** ``bits`` has a log-count ratio, from the documents
+    of each class that have an n-gram in it, drawn towards 0 by ``doubt`` times its standard error;
+    ``smoothing`` counts are shared among the classes by size. The classifier learns on the counts of
+    distinct words of every bucket whose ratio is not 0, scaled by the ratio: about ``part_docs``
+    documents to a task, ``held`` gram counts at a time, and the tasks' models are averaged after each
+    of the ``rounds``. Up to ``part_docs`` documents it is one model. The driver gets vectors of
+    2 ** ``bits`` numbers, a few for each task, and never texts or lists as long as texts. Without
+    documents of both classes the model is a bias.
     """
-    held = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
+    held_labels = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     order = F.xxhash64(F.lit("toxicity"), id_col)
     chosen = None
     for label in (0, 1):
-        some = held.where(F.col("label") == label).orderBy(order, id_col).limit(max_docs // 2)
+        some = held_labels.where(F.col("label") == label).orderBy(order, id_col).limit(max_docs // 2)
         chosen = some if chosen is None else chosen.unionByName(some)
-    sample = materialize(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), "toxicity-sample").repartition(8)
-
-    def count(labels_, texts) -> Iterator[tuple]:
-        cache, totals = GramCache(bits), np.zeros((2, 1 << bits), dtype=np.int64)
-        for label, text in zip(labels_, texts):
-            found = {g for w in words(text or "") for g in cache(w)}
-            totals[label, list(found)] += 1
-        for bucket in np.flatnonzero(totals.sum(0)).tolist():
-            yield bucket, int(totals[0, bucket]), int(totals[1, bucket])
-
+    sample = materialize(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), "toxicity-sample")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
-        return Model(bits, {}, 4.0 if toxic else -4.0)
-    counted = map_rows(sample, ["label", text_col], "bucket int, clean long, toxic long", count).groupBy("bucket").agg(F.sum("clean"), F.sum("toxic"))
-    table = np.array([tuple(r) for r in counted.collect()], dtype=np.float64)  # at most 2 ** bits rows
-    p, q = (table[:, 2] + 1) / (toxic + 2), (table[:, 1] + 1) / (clean + 2)
-    ratio = np.log(p / q)
-    sure = np.abs(ratio) / np.sqrt(1 / (table[:, 2] + 1) + 1 / (table[:, 1] + 1))
-    top = np.argsort(-sure, kind="stable")[:max_features]
-    index = {int(b): i for i, b in enumerate(table[top, 0])}
-
-    def hit(labels_, texts) -> Iterator[tuple]:
-        cache = GramCache(bits)
-        for label, text in zip(labels_, texts):
-            yield label, [index[g] for w in words(text or "") for g in cache(w) if g in index]
-
-    rows = [(r["label"], r["found"]) for r in map_rows(sample, ["label", text_col], "label int, found array<int>", hit).collect()]
-    w, b = fit_linear(rows, ratio[top])
-    scaled = w * ratio[top]
-    return Model(bits, {bucket: float(scaled[i]) for bucket, i in index.items()}, float(b))
+        return Model(bits, np.zeros(1 << bits), 4.0 if toxic else -4.0)
+    parts = max(1, math.ceil((clean + toxic) / part_docs))
+    features = materialize(_features(sample.repartition(parts), text_col, bits), "toxicity-features").coalesce(parts)
+    without, with_ = _tally(features, bits)
+    ratios = log_count_ratios(without, with_, clean, toxic, smoothing, doubt)
+    w, b = np.zeros(1 << bits), 0.0
+    for _ in range(rounds):
+        w, b = _mixed(features, ratios, w, b, penalty, steps, held)
+    return Model(bits, w * ratios, float(b))
 
 
 class Scorer:
-    def __init__(self, model: Model, limit: int = 500_000):
+    """Scores of texts; sums of short words are remembered, ``limit`` of them at most."""
+
+    def __init__(self, model: Model, limit: int = 300_000):
         self.model, self.limit, self.known = model, limit, {}
+        self.weights = model.weights.tolist()
 
     def _word(self, word: str) -> float:
-        if len(self.known) >= self.limit:
-            self.known.clear()
-        weights = self.model.weights
-        found = self.known[word] = sum(weights[g] for g in sorted(grams(word, self.model.bits)) if g in weights)
+        weights = self.weights
+        found = math.fsum([weights[g] for g in grams(word, self.model.bits)])  # exact, so the order of a set does not matter
+        if len(word) <= LONGEST_KEPT:
+            if len(self.known) >= self.limit:
+                self.known.clear()
+            self.known[word] = found
         return found
 
     def __call__(self, text: str) -> float:
@@ -148,7 +238,8 @@ class Scorer:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, score from 0 to 1 and predicted (1 from 0.5 on) of every whole text.
 
-    Null and empty texts have no n-grams and get the score of the bias alone. Repeated rows are
+    Null and empty texts have no n-grams and get the score of the bias alone. A word counts once in
+    a text of any length. Equal texts have equal scores. Repeated rows and rows of null ids are
     scored one by one, an empty table gives no rows, and other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -165,7 +256,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they are, whose texts score under 0.5; null texts count as empty."""
+    """The rows, all columns as they are, whose texts score under 0.5.
+
+    Null texts count as empty; ids are not read, so rows of null or repeated ids are kept or dropped
+    each by its own text, and an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     token = uuid.uuid4().hex
     at = docs.columns.index(text_col)
