@@ -55,7 +55,8 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _remainder(divisor: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor))
+    """A null id has the remainder -1: it is neither held out nor learned from."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(divisor)), F.lit(-1))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
