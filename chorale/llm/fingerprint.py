@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import uuid
@@ -134,40 +135,47 @@ def fingerprints(
     return map_rows(docs, [id_col, text_col], f"`{id_col}` {kind}, fingerprint string", run)
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int, max_buckets: int) -> DataFrame:
     """Rows (bucket, tail, id, text) such that within a bucket, in order, each row's next document follows.
 
-    The order is descending by id (null last), then by a hash of the text. Buckets are ranges of
-    ids; the first row of the bucket below, or of the topmost bucket, is copied to a bucket's end. Each
-    bucket is a partition of its own; hashing the few bucket numbers would put several into one.
-    Texts are shuffled and sorted as zstd frames, for they are all that the shuffle weighs.
+    The order is descending by id (null last), then by a hash of the text, then by the row's place
+    in the table, so that no number of equal ids or rows makes a bucket large. Buckets are ranges of
+    that order, cut at rows drawn at random, and a bucket's first row is such a cut; the task that
+    deals a row to its bucket by a search among the cuts also copies each cut to the end of the bucket
+    above (the topmost row to that of the lowest bucket). The driver holds the cuts, ``max_buckets``
+    at most. Texts are shuffled and sorted as zstd frames, for they are all that the shuffle weighs.
     """
     n = docs.count()
-    parts = max(1, math.ceil(n / bucket_rows))
-    cuts = docs.approxQuantile(id_col, [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    cuts = sorted(set(cuts))
-    bucket = F.coalesce(F.array_position(F.transform(F.array(*map(F.lit, cuts)), lambda c: c >= F.col(id_col)), True), F.lit(0)) if cuts else F.lit(0)
-    bucket = F.when(F.col(id_col).isNull(), 0).when(bucket == 0, len(cuts)).otherwise(bucket - 1) if cuts else F.lit(0)
+    parts = min(max_buckets, max(1, math.ceil(n / bucket_rows)))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), bucket.cast("long").alias("bucket"), F.xxhash64(text).alias("h"))
-    tops = rows.groupBy("bucket").agg(F.max(F.struct("id", "h")).alias("top")).orderBy("bucket").collect()  # a row a bucket
-    copies: dict[tuple, list[int]] = {}
-    for k, r in enumerate(tops):
-        copies.setdefault(tuple(r["top"]), []).append(tops[(k + 1) % len(tops)]["bucket"])
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("seq"))
+    key = F.struct(F.col("id").isNotNull().alias("known"), "id", "h", "seq")
+    first = rows.agg(F.max(key)).first()[0]
+    drawn = rows.select(key.alias("key")).sample(min(1.0, 10 * parts / max(1, n)), seed=5).collect() if parts > 1 else []  # about ten keys a bucket
+    drawn = sorted(tuple(r["key"]) for r in drawn)
+    cuts = sorted({*[drawn[k * len(drawn) // parts] for k in range(1, parts)], *([tuple(first)] if first else [])}) if drawn or first else []
+    sent = docs.sparkSession.sparkContext.broadcast(cuts)
     kind = rows.schema["id"].dataType.simpleString()
-    table = docs.sparkSession.createDataFrame([(i, h, to) for (i, h), to in copies.items()], f"top_id {kind}, top_h long, copy_to array<long>")
-    rows = rows.join(F.broadcast(table), rows["id"].eqNullSafe(table["top_id"]) & (rows["h"] == table["top_h"]), "left")
-    targets = F.concat(F.array(F.struct("bucket", F.lit(0).alias("tail"))), F.coalesce(F.transform("copy_to", lambda b: F.struct(b.alias("bucket"), F.lit(1).alias("tail"))), F.array()))
-    rows = rows.select("id", "text", "h", F.explode(targets).alias("to")).select("to.bucket", "to.tail", "id", "text", "h")
+    names = ["bucket", "tail", "id", "text", "h", "seq"]
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zstd = zstandard.ZstdCompressor(level=1)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd, cuts = zstandard.ZstdCompressor(level=1), sent.value
         for batch in batches:
-            packed = pa.array([zstd.compress(x.as_py().encode()) for x in batch.column("text")], pa.binary())
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", packed)
+            out = []
+            for key, text, h, seq in zip(*[c.to_pylist() for c in batch.columns]):
+                frame = zstd.compress(text.encode())
+                place = bisect.bisect_left(cuts, (key is not None, key, h, seq))
+                bucket = len(cuts) - 1 - place
+                out.append((bucket, 0, key, frame, h, seq))
+                if cuts[place] == (key is not None, key, h, seq):
+                    out.append((bucket - 1 if bucket else len(cuts) - 1, 1, key, frame, h, seq))
+            types = [pa.int64(), pa.int32(), batch.schema.field("id").type, pa.binary(), pa.int64(), pa.int64()]
+            columns = list(zip(*out)) if out else [()] * len(names)
+            yield pa.record_batch([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
 
-    rows = rows.mapInArrow(squeeze, f"bucket long, tail int, id {kind}, text binary, h long")
-    return rows.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "tail", F.col("id").desc_nulls_last(), F.col("h").desc()).drop("h")
+    rows = rows.mapInArrow(deal, f"bucket long, tail int, id {kind}, text binary, h long, seq long")
+    order = ["bucket", "tail", F.col("id").desc_nulls_last(), F.col("h").desc(), F.col("seq").desc()]
+    return rows.repartitionById(max(1, len(cuts)), F.col("bucket").cast("int")).sortWithinPartitions(*order).drop("h", "seq")
 
 
 def edited_fingerprints(
@@ -179,14 +187,17 @@ def edited_fingerprints(
     levels: int = 7,
     each: int = 9,
     bucket_rows: int = 5_000,
+    max_buckets: int = 10_000,
 ) -> DataFrame:
     """Fingerprint every whole text and its edited text, and compare it with those and the next document's.
 
     The next document is that of the next lower id; the lowest is followed by the highest. The
     edited text has the last half of its code points replaced by the first of the next document.
-    Null texts count as empty and null ids as lowest; rows that share an id go by their texts'
-    hashes. A table of one row is its own next document; an empty one gives no rows; other columns
-    are not read.
+    Null texts count as empty and null ids as lowest; rows that share an id, or have none, go by
+    their texts' hashes, and repeated rows each have a place of their own. A table of one row is its
+    own next document; an empty one gives no rows; other columns are not read. Tables of more than
+    ``max_buckets`` * ``bucket_rows`` rows have larger buckets, which are sorted and read as streams.
+    ``docs`` is read several times and must give the same rows in the same order, as files do.
     """
     token = uuid.uuid4().hex
     sent = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text_col, min_share, max_share))
@@ -214,4 +225,4 @@ def edited_fingerprints(
             types = [batch.schema.field("id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.record_batch([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
 
-    return with_next(docs, id_col, text_col, bucket_rows).mapInArrow(run, schema)
+    return with_next(docs, id_col, text_col, bucket_rows, max_buckets).mapInArrow(run, schema)
