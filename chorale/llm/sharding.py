@@ -6,9 +6,11 @@ import heapq
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chorale.functions.storage import materialize
@@ -59,6 +61,37 @@ def difference(vectors: Sequence[Sequence[int]], lanes: int) -> list[list[int]]:
     return out
 
 
+def place(vectors: DataFrame, lanes: int, at_once: int) -> DataFrame:
+    """chunk, lane, shard for ``vectors`` (chunk, sums: one for each lane), by differencing ``at_once`` at a time.
+
+    Tasks difference batches of vectors, and each batch leaves one vector, which is placed in the
+    same way, until as many are left as one batch has; those are differenced on the driver. So the
+    driver never gets more than ``at_once`` vectors, and no task more than about twice as many.
+    """
+    spark = vectors.sparkSession
+    n = vectors.count()
+    if n <= at_once:
+        rows = vectors.orderBy("chunk").collect()
+        final = difference([r["sums"] for r in rows], lanes)
+        return spark.createDataFrame([(r["chunk"], lane, to) for r, row in zip(rows, final) for lane, to in enumerate(row)], "chunk long, lane int, shard int")
+    batches = math.ceil(n / at_once)
+
+    def combine(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk", ignore_index=True)
+        final = np.array(difference(rows["sums"].tolist(), lanes))
+        total = np.zeros(lanes, dtype=np.int64)
+        np.add.at(total, final.ravel(), np.concatenate(rows["sums"].tolist()))
+        return rows.assign(to=final.tolist(), total=[total.tolist()] * len(rows))[["chunk", "to", "batch", "total"]]
+
+    dealt = vectors.withColumn("batch", F.pmod(F.xxhash64("chunk"), F.lit(batches)))
+    combined = materialize(dealt.groupBy("batch").applyInPandas(combine, "chunk long, to array<int>, batch long, total array<long>"), "combined")
+    above = combined.groupBy("batch").agg(F.first("total").alias("sums"))  # equal in all rows of a batch
+    placed = place(above.select(F.col("batch").alias("chunk"), "sums"), lanes, at_once)
+    flat = combined.select("chunk", "batch", F.posexplode("to").alias("lane", "to"))
+    up = placed.select(F.col("chunk").alias("batch"), F.col("lane").alias("to"), "shard")
+    return flat.join(up, ["batch", "to"]).select("chunk", "lane", "shard")
+
+
 def shard(
     docs: DataFrame,
     shards: int = 16,
@@ -66,25 +99,28 @@ def shard(
     text_col: str = "text",
     chunk_groups: int = 40_000,
     bucket_rows: int = 20_000,
+    at_once: int = 1_000,
 ) -> DataFrame:
     """Put every row into a shard so that the shards' bytes are near equal; law ``bytes``.
 
     A row's size is the UTF-8 bytes of its text (null: none) plus 1. Rows of equal text, null and
     empty taken as equal, form a group that stays together. Groups are summed before anything else;
     each task differences its own groups, at most ``chunk_groups`` at a time, and leaves one vector
-    of shard sums; the vectors, a few for each task, are differenced on the driver in the same way.
+    of shard sums; the vectors are differenced in the same way, ``at_once`` at a time (see `place`).
 
     Id, size, text_crc32, law, shard, slot (gapless from 0 in each shard) and grown_shard (null).
-    Slots are given within hash buckets of about ``bucket_rows`` rows, after the counts of the
-    buckets before. Repeated rows get a slot each; an empty table gives no rows; other columns are
-    not read.
+    Slots are given within buckets of about ``bucket_rows`` rows, after the counts of the buckets
+    before. Repeated rows and rows of null ids get a slot each, and their number makes no bucket
+    large, as buckets go by a number of the row; an empty table gives no rows; other columns are not
+    read. A text of any length is one group; a group larger than a shard's share makes its shard larger.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col),
+        F.col(id_col).alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("group"),
+        F.monotonically_increasing_id().alias("row"),
     )
     rows = materialize(rows, "sizes")
     n = rows.count()
@@ -111,27 +147,20 @@ def shard(
             yield out()
 
     laid = materialize(groups.mapInPandas(lay, "group binary, bytes long, chunk long, lane int"), "lanes")
-    sums = laid.groupBy("chunk", "lane").agg(F.sum("bytes").alias("bytes")).collect()  # shards rows a chunk
-    chunks = sorted({r["chunk"] for r in sums})
-    vector = {c: [0] * shards for c in chunks}
-    for r in sums:
-        vector[r["chunk"]][r["lane"]] = r["bytes"]
-    final = difference([vector[c] for c in chunks], shards)
-    spark = docs.sparkSession
-    places = spark.createDataFrame([(c, lane, to) for c, row in zip(chunks, final) for lane, to in enumerate(row)], "chunk long, lane int, shard int")
+    sums = laid.groupBy("chunk", "lane").agg(F.sum("bytes").alias("bytes")).groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("lane", "bytes"))).alias("by_lane"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda k: F.coalesce(F.try_element_at("by_lane", k), F.lit(0).cast("long")))
+    places = place(sums.select("chunk", every.alias("sums")), shards, at_once)
     dealt = rows.join(laid.join(places, ["chunk", "lane"]).select("group", "shard"), "group")
-    dealt = dealt.select(id_col, "size", "text_crc32", "shard", F.pmod(F.xxhash64(id_col, "size", "text_crc32"), F.lit(max(1, math.ceil(n / bucket_rows)))).alias("bucket"))
-    dealt = materialize(dealt, "dealt")
-    from pyspark.sql import Window as W
-
+    buckets = max(1, math.ceil(n / bucket_rows))
+    dealt = materialize(dealt.select("id", "size", "text_crc32", "row", "shard", F.pmod(F.xxhash64("row"), F.lit(buckets)).alias("bucket")), "dealt")
     before = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
     before = before.select("shard", "bucket", (F.sum("rows").over(W.partitionBy("shard").orderBy("bucket")) - F.col("rows")).alias("before"))
-    inside = F.row_number().over(W.partitionBy("shard", "bucket").orderBy(id_col, "size", "text_crc32"))
+    inside = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("id", "row"))
     return (
         dealt.withColumn("inside", inside)
         .join(before, ["shard", "bucket"])
         .select(
-            id_col,
+            F.col("id").alias(id_col),
             "size",
             "text_crc32",
             F.lit("bytes").alias("law"),
