@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chorale.functions.joins import join_totals
 from chorale.functions.storage import materialize
 
 
@@ -12,9 +13,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """``node`` and ``component`` (the lowest node of it) for every node of the edges.
 
     Alternates large-star and small-star: in each, every node hands its neighbours to the lowest of
-    them, so that components shrink to stars in few rounds. Each round is one aggregate and one
-    join of linear size, written to the shared folder so that lineage stays short. Null ends are
-    left out; self-edges only name a node.
+    them, so that components shrink to stars in few rounds. Each round is two aggregates and joins of
+    linear size, written to the shared folder so that lineage stays short. A node with many
+    neighbours, as the middle of a star is, is joined where its edges lie (see `join_totals`). Null
+    ends are left out; self-edges only name a node.
     """
     given = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     nodes = given.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -24,11 +26,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if not size[0]:
             break
         both = now.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(now.select(F.col("high").alias("u"), F.col("low").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("low"), F.col("v").alias("high")).where("low <> high").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = join_totals(both, least, "u", "n", 2 * size[0]).where("v > u").select(F.col("m").alias("low"), F.col("v").alias("high")).where("low <> high").distinct()
         down = large.select(F.col("high").alias("u"), F.col("low").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select("m", F.explode(F.array("u", "v")).alias("high")).where("m <> high")
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_totals(down, least, "u", "n", 2 * size[0]).select("m", F.explode(F.array("u", "v")).alias("high")).where("m <> high")
         now = materialize(small.select(F.col("m").alias("low"), "high").distinct(), "edges")
         before, size = size, _digest(now)
         if size == before:

@@ -1,11 +1,14 @@
+from pyspark.sql import functions as F
+
+from chorale.functions import joins
 from chorale.operators import align, announcements, graph, order, overlap, parsing
 
-EDGES = [(1, 2), (2, 3), (2, 4), (5, 6), (7, 8), (6, 7), (9, 9), (None, 1)]
+EDGES = [(30, 12), (12, 45), (45, 30), (17, 61), (90, 61), (33, 33), (None, 12), (8, None)]
 
 
 def test_components(spark):
     got = graph.connected_components(spark.createDataFrame(EDGES, "src long, dst long")).collect()
-    assert {(r[0], r[1]) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 5), (8, 5), (9, 9)}
+    assert {(r[0], r[1]) for r in got} == {(12, 12), (30, 12), (45, 12), (17, 17), (61, 17), (90, 17), (33, 33)}
 
 
 def test_components_of_no_edges(spark):
@@ -61,3 +64,27 @@ def test_entry_has_queries():
 
     assert "export_full_outer_merge" in e.queries()
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_components_of_stars_and_chains(spark):
+    """Hot middles of stars, joined to each other and to a chain, against a plain search."""
+    edges = [(1000, k) for k in range(1001, 2600)] + [(3000, k) for k in range(3001, 3700)] + [(2599, 3001)] + [(5000 + k, 5001 + k) for k in range(40)] + [(7, 8), (8, 8)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = graph.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {(r["node"], r["component"]) for r in got} == {(x, find(x)) for x in list(root)}
+
+
+def test_join_totals(spark):
+    rows = spark.createDataFrame([(k % 3 if k < 30 else 9, k) for k in range(900)] + [(None, 1)], "u long, v long")
+    totals = rows.groupBy("u").agg(F.count("*").alias("n"))
+    got = joins.join_totals(rows, totals, "u", "n", 901, hot_keys=10, least_hot=20).collect()
+    assert len(got) == 900 and {(r["u"], r["n"]) for r in got} == {(0, 10), (1, 10), (2, 10), (9, 870)}
