@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chorale.functions.joins import join_totals
 from chorale.functions.storage import materialize
 from chorale.llm.common import map_rows, uncollected
 from chorale.operators.graph import connected_components
@@ -30,8 +31,12 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Longer words are hashed anew each time, so that a memory of n words has a bound in bytes.
+LONGEST_KEPT = 64
+
+
 class Shingler:
-    """Distinct 64-bit hashes of a text's n-grams of words, in order; words are kept up to a limit."""
+    """Distinct 64-bit hashes of a text's n-grams of words, in order; short words are kept up to a limit."""
 
     def __init__(self, n: int, limit: int = 300_000):
         self.n, self.limit, self.known = n, limit, {}
@@ -44,7 +49,9 @@ class Shingler:
                 known.clear()
             for i, h in enumerate(found):
                 if h is None:
-                    found[i] = known[words[i]] = xxhash.xxh64_intdigest(words[i])
+                    found[i] = h = xxhash.xxh64_intdigest(words[i])
+                    if len(words[i]) <= LONGEST_KEPT:
+                        known[words[i]] = h
         h = np.array(found, dtype=np.uint64)
         n = min(self.n, max(1, len(h)))
         if not len(h):
@@ -88,13 +95,15 @@ def signatures(docs: DataFrame, row_col: str, id_col: str, text_col: str, n: int
     return map_rows(docs, [row_col, id_col, text_col], f"row long, id {kind}, set_key binary, shingles long, bands array<long>", run)
 
 
-def _links(sets: list[np.ndarray], copies: np.ndarray, first: np.ndarray, second: np.ndarray, similarity: float) -> tuple[np.ndarray, list[int]]:
+def _links(sets: list[np.ndarray], copies: np.ndarray, pairs: np.ndarray, similarity: float) -> tuple[np.ndarray, list[int]]:
     """Linked documents of each set and a label for each, equal for linked sets.
 
-    Pairs are those of a set in ``first`` with one in ``second``, each pair once. Common n-grams are
-    counted by products of 0/1 matrices over slices of the n-grams that two sets or more have.
+    ``pairs`` tells which sets are compared. Common n-grams are counted by products of 0/1 matrices
+    over slices of the n-grams that two sets or more have.
     """
     m = len(sets)
+    if not pairs.any():
+        return np.zeros(m), list(range(m))
     sizes = np.array([len(s) for s in sets])
     both = np.concatenate(sets)
     owner = np.repeat(np.arange(m), sizes)
@@ -111,8 +120,7 @@ def _links(sets: list[np.ndarray], copies: np.ndarray, first: np.ndarray, second
         grid[owner[low:high], column[low:high] - at] = 1
         common += grid @ grid.T
     close = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6
-    close &= (first[:, None] & second[None, :]) | (second[:, None] & first[None, :])
-    np.fill_diagonal(close, False)
+    close &= pairs
     label = np.arange(m)
     while True:  # each set takes the lowest label of its links, until none changes
         least = np.minimum(label, np.where(close, label[None, :], m).min(axis=1, initial=m))
@@ -144,12 +152,16 @@ def near_join(
     in a table that reads the same every time (see `numbered`); without it, one is written here. An
     empty table gives no rows; other columns are not read.
 
-    Equal sets are first reduced to one. Band hashes propose: each is followed to its bucket's
-    lowest set, and the components of those few edges are the families within which links are
-    sought. A family is dealt in blocks of about ``block`` sets, fewer where the sets are so large
-    that a block would have more than ``block_shingles`` n-grams, and each pair of blocks is a task
-    that compares all its pairs of full n-gram sets, so a family of any size is compared whole
-    without gathering it; only counts and labels leave a task, never pairs.
+    Equal sets are first reduced to one. Band hashes propose: the components of the buckets are the
+    families within which links are sought. A family of up to ``block`` sets is compared whole, in
+    one task, and so is a larger one of which the largest bucket holds half, for then nearly all its
+    pairs are proposed. Any other large family is welded together by chains or by a passage that
+    many texts share; in it the sets of each bucket are compared, and a pair that shares several
+    buckets only in that of its first common band. Families and buckets are dealt in blocks of about
+    ``block`` sets, fewer where the sets are so large that a block would have more than
+    ``block_shingles`` n-grams, and each pair of blocks is a task that compares full n-gram sets; so
+    a group of any size is compared without gathering it. Only counts and labels leave a task,
+    never pairs.
     """
     bands, rows = bands_and_rows(similarity, recall)
     if row_col is None:
@@ -157,49 +169,92 @@ def near_join(
     else:
         docs = docs.select(F.col(row_col).alias(ROW), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = materialize(signatures(docs, ROW, "id", "text", n, bands, rows), "signatures")
-    sets = signed.groupBy("set_key").agg(F.min("row").alias("row"), F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("shingles").alias("shingles"), F.min("bands").alias("bands"))
-    sets = materialize(sets.withColumn("node", F.xxhash64("set_key")), "sets")
-    keyed = sets.select("node", F.explode("bands").alias("band"))
-    lowest = keyed.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("m")).where("m > 1").drop("m")
-    edges = keyed.join(lowest, "band").where("node <> low").select(F.col("node").alias("src"), F.col("low").alias("dst")).distinct()
-    families = materialize(connected_components(edges), "families")
-    members = families.join(sets.select("node", "row", "copies", "shingles"), "node")
-    blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("shingles") / F.lit(block_shingles))).cast("int")
-    members = members.join(members.groupBy("component").agg(blocks.alias("blocks")), "component")
-    members = members.withColumn("mine", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(ROW).alias("row"), "text").join(members, "row")
+    sets = signed.groupBy("set_key").agg(F.min("row").alias("node"), F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("shingles").alias("shingles"), F.min("bands").alias("bands"))
+    sets = materialize(sets, "sets")  # a set is known by the number of its first row
+    n_rows, n_sets = signed.count(), sets.count()
+    members = materialize(_families(sets, n_sets * bands).join(sets.select("node", "copies", "shingles", "bands"), "node"), "members")
+    groups = materialize(_groups(members, n_sets, bands, block, block_shingles), "groups")
+    of_node = groups.groupBy("node").agg(F.collect_list(F.struct("kind", "grp", "blocks")).alias("groups"))
+    texts = docs.select(F.col(ROW).alias("node"), "text").join(members.select("node", "copies", "bands").join(of_node, "node"), "node")
+    placed = texts.select("node", "copies", "bands", "text", F.explode("groups").alias("g")).select("node", "copies", "bands", "text", "g.*")
+    placed = placed.withColumn("mine", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "mine").alias("a"), F.greatest(k, "mine").alias("b")))
-    dealt = texts.select("component", "node", "copies", "mine", "text", F.explode(other).alias("pair")).select("component", "pair.a", "pair.b", "node", "copies", "mine", "text")
-    dealt = dealt.repartition("component", "a", "b").sortWithinPartitions("component", "a", "b", "node")
+    dealt = placed.withColumn("pair", F.explode(other)).select("kind", "grp", "pair.a", "pair.b", "node", "copies", "mine", F.when(F.col("kind") == BUCKET, F.col("bands")).alias("bands"), "text")
+    dealt = dealt.repartition("kind", "grp", "a", "b").sortWithinPartitions("kind", "grp", "a", "b", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         names = ["node", "low", "links"]
 
         def out(key, held) -> pa.RecordBatch:
-            _, a, b = key
-            mine = np.array([h[2] for h in held])
-            links, label = _links([h[3] for h in held], np.array([h[1] for h in held]), mine == a, mine == b, similarity)
-            nodes = [h[0] for h in held]
+            nodes, copies, mine, banded, found = zip(*held)
+            pairs = _proposed(key, np.array(mine), banded)
+            links, label = _links(found, np.array(copies), pairs, similarity)
             return pa.record_batch([pa.array(nodes, pa.int64()), pa.array([nodes[k] for k in label], pa.int64()), pa.array(links.astype(np.int64))], names=names)
 
         key, held = None, []
         with uncollected():
             for batch in batches:
-                for component, a, b, node, copies, mine, text in zip(*[c.to_pylist() for c in batch.columns]):
-                    if key != (component, a, b):
+                for kind, grp, a, b, node, copies, mine, banded, text in zip(*[c.to_pylist() for c in batch.columns]):
+                    if key != (kind, grp, a, b):
                         if len(held) > 1:
                             yield out(key, held)
-                        key, held = (component, a, b), []
-                    held.append((node, copies, mine, shingle(text or "")))
+                        key, held = (kind, grp, a, b), []
+                    held.append((node, copies, mine, banded, shingle(text or "")))
             if len(held) > 1:
                 yield out(key, held)
 
     compared = materialize(dealt.mapInArrow(compare, "node long, low long, links long"), "compared")
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     joined = connected_components(compared.where("node <> low").select(F.col("node").alias("src"), F.col("low").alias("dst")).distinct())
-    classes = joined.join(sets.select("node", "rep"), "node")
-    classes = classes.join(classes.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select("node", "class_id")
+    classes = materialize(joined.join(sets.select("node", "rep"), "node"), "classes")
+    lowest = classes.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("n"))
+    classes = join_totals(classes, lowest, "component", "n", n_sets).select("node", "class_id")
     found = sets.join(links, "node", "left").join(classes, "node", "left")
-    found = found.select("set_key", F.col("rep").alias("copy_id"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("id", "set_key").join(found, "set_key").select(F.col("id").alias(id_col), "class_id", "copy_id", "n_links")
+    found = found.select("set_key", F.col("rep").alias("copy_id"), F.coalesce("class_id", "rep").alias("class_id"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    found = join_totals(signed.select("id", "set_key"), materialize(found, "found"), "set_key", "copies", n_rows)
+    return found.select(F.col("id").alias(id_col), "class_id", "copy_id", "n_links")
+
+
+FAMILY, BUCKET = 0, 1
+
+
+def _families(sets: DataFrame, n_bands: int) -> DataFrame:
+    """node, component of every set that shares a bucket with another: each is tied to its bucket's lowest."""
+    keyed = sets.select("node", F.explode("bands").alias("band"))
+    lowest = keyed.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("m")).where("m > 1")
+    edges = join_totals(keyed, lowest, "band", "m", n_bands).where("node <> low")
+    return connected_components(edges.select(F.col("node").alias("src"), F.col("low").alias("dst")).distinct())
+
+
+def _groups(members: DataFrame, n_sets: int, bands: int, block: int, block_shingles: int) -> DataFrame:
+    """node, kind, grp, blocks: the families and buckets in which each set is compared."""
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("shingles") / F.lit(block_shingles))).cast("int").alias("blocks")
+    family = members.groupBy("component").agg(F.count("*").alias("size"), blocks)
+    member = join_totals(members, family, "component", "size", n_sets).select("component", "node", "shingles", "bands", "size", "blocks")
+    keyed = member.where("blocks > 1").select("component", "node", "shingles", "size", F.posexplode("bands").alias("t", "band"))
+    bucket = keyed.groupBy("band").agg(
+        F.min("component").alias("component"), F.min("size").alias("size"), F.min("t").alias("t"), F.count("*").alias("m"), blocks,
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("one"), F.bit_xor(F.xxhash64(F.lit("x"), "node")).alias("two"),
+    ).where("m > 1")
+    bucket = materialize(bucket, "buckets")
+    welded = bucket.groupBy("component").agg((F.max("m") * 2 < F.min("size")).alias("welded")).where("welded").select("component")
+    whole = member.join(welded, "component", "left_anti").select("node", F.lit(FAMILY).alias("kind"), F.col("component").alias("grp"), "blocks")
+    # Buckets of the same sets as one of an earlier band have no pair of their own.
+    kept = bucket.join(welded, "component").groupBy("component", "m", "one", "two").agg(F.min_by(F.struct("band", "blocks"), F.struct("t", "band")).alias("b"))
+    kept = kept.select("b.*", "m")
+    parts = join_totals(keyed.select("node", "band"), kept, "band", "m", n_sets * bands)
+    return whole.unionByName(parts.select("node", F.lit(BUCKET).alias("kind"), F.col("band").alias("grp"), "blocks"))
+
+
+def _proposed(key: tuple, mine: np.ndarray, banded: tuple) -> np.ndarray:
+    """Which pairs a task compares: sets of one block with those of the other, and in a bucket such as share no earlier band."""
+    kind, grp, a, b = key
+    first, second = mine == a, mine == b
+    pairs = (first[:, None] & second[None, :]) | (second[:, None] & first[None, :])
+    np.fill_diagonal(pairs, False)
+    if kind == BUCKET:
+        bands = np.array(banded, dtype=np.int64)
+        for band in bands.T[: banded[0].index(grp)]:
+            pairs &= band[:, None] != band[None, :]
+    return pairs
