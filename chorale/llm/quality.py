@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,27 +47,45 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Puts equal windows side by side; it need not tell all others apart.
+window_hash = F.xxhash64
+
+
 def repeated(words: Column) -> Column:
     """Number of words in three-word windows that occur twice or more.
 
-    A window is a hash of its words. Windows are sorted with their places; one whose neighbour in
-    that order has an equal hash is repeated. Each repeated place covers as many words as there are
-    to the next one, at most 3.
+    Windows are sorted by a hash of their words and by place; one whose neighbour in that order has
+    an equal hash is repeated. If two neighbours of equal hash differ in their words, which nearly
+    never happens, the text's windows are sorted by the words as well. Each repeated place covers as
+    many words as there are to the next one, at most 3.
     """
 
-    def windows(w: Column) -> Column:
-        one = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("at"))
+    def windows(w: Column, exact: bool) -> Column:
+        def one(i: Column) -> Column:
+            three = [F.get(w, i + k) for k in range(3)]
+            return F.struct(window_hash(*three).alias("h"), *([x.alias(f"w{k}") for k, x in enumerate(three)] if exact else []), i.alias("at"))
+
         return F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), one)))
 
-    def places(s: Column) -> Column:
-        twice = F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
-        return F.sort_array(F.transform(twice, lambda x: x["at"]))
+    def twice(s: Column, keys: list[str]) -> Column:
+        same = lambda x, y: F.coalesce(functools.reduce(Column.__and__, [x[k] == y[k] for k in keys]), F.lit(False))
+        return F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
+
+    def clash(t: Column, w: Column) -> Column:
+        def differ(x: Column, k: Column) -> Column:
+            y = F.get(t, k + 1)
+            return F.coalesce(x["h"] == y["h"], F.lit(False)) & functools.reduce(Column.__or__, [F.get(w, x["at"] + n) != F.get(w, y["at"] + n) for n in range(3)])
+
+        return F.size(F.filter(t, differ)) > 0
 
     def covered(p: Column) -> Column:
         steps = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))).cast("long"))
         return F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
 
-    return let(windows(words), lambda s: let(places(s), covered))
+    places = lambda t: F.sort_array(F.transform(t, lambda x: x["at"]))
+    exact = lambda w: let(windows(w, True), lambda s: places(twice(s, ["h", "w0", "w1", "w2"])))
+    found = lambda w: let(windows(w, False), lambda s: let(twice(s, ["h"]), lambda t: F.when(clash(t, w), exact(w)).otherwise(places(t))))
+    return let(found(words), covered)
 
 
 def counts(text: Column) -> Column:
@@ -150,44 +170,54 @@ def cover(known: DataFrame, bins: int, max_rules: int, max_conditions: int, min_
     cell = [sum((F.col(f) > c).cast("int") for c in cuts[f]) + F.lit(0) for f in FEATURES]
     cell = [c.alias(f) for c, f in zip(cell, FEATURES)]
     cells = known.select("label", "fold", *cell).groupBy("label", "fold", *FEATURES).count().collect()  # at most max_docs rows
-    rows = [([r[f] for f in FEATURES], r["label"], r["fold"], r["count"]) for r in cells]
-
-    def tally(conditions, some, fold: int) -> tuple[int, int]:
-        bad = total = 0
-        for at, label, k, n in some:
-            if k == fold and all((at[i] > c) == above for i, above, c in conditions):
-                total += n
-                bad += n * (label == 0)
-        return bad, total
+    at = np.array([[r[f] for f in FEATURES] for r in cells], dtype=np.int64).reshape(len(cells), len(FEATURES))
+    weight = np.array([r["count"] for r in cells], dtype=np.int64)
+    bad = weight * np.array([r["label"] == 0 for r in cells], dtype=np.int64)
+    grown = np.array([r["fold"] == 0 for r in cells], dtype=bool)
+    total = int(weight.sum())
+    left = np.ones(len(cells), dtype=bool)
+
+    def inside(conditions: list[tuple]) -> np.ndarray:
+        """Cells, of those that no rule covers yet, where all conditions hold."""
+        held = left.copy()
+        for f, above, c in conditions:
+            held &= (at[:, f] > c) == above
+        return held
+
+    def best_next(held: np.ndarray) -> tuple | None:
+        """The condition of the highest gain: rejected documents it covers, times the rise in precision."""
+        bad0, all0 = int(bad[held].sum()), int(weight[held].sum())
+        best, gain = None, 0.0
+        if not bad0 or bad0 == all0:
+            return None
+        for f, name in enumerate(FEATURES):
+            low_bad = np.bincount(at[held, f], weights=bad[held], minlength=len(cuts[name]) + 1).cumsum()
+            low_all = np.bincount(at[held, f], weights=weight[held], minlength=len(cuts[name]) + 1).cumsum()
+            for c in range(len(cuts[name])):
+                for above in (True, False):
+                    b, n = (bad0 - low_bad[c], all0 - low_all[c]) if above else (low_bad[c], low_all[c])
+                    if b and n >= min_share * total * 2 / 3 and (g := b * ((b + 0.1) / (n + 0.2) - bad0 / all0)) > gain:
+                        best, gain = (f, above, c), g
+        return best
+
+    def precision(conditions: list[tuple]) -> float:
+        """On the third that rules are pruned on."""
+        held = inside(conditions) & ~grown
+        return (bad[held].sum() + 0.5) / (weight[held].sum() + 1) if held.any() else 0.0
 
-    total = sum(n for *_, n in rows)
     rules: list[Rule] = []
-    left = rows
-    options = [(i, above, c) for i, f in enumerate(FEATURES) for c in range(len(cuts[f])) for above in (True, False)]
     while len(rules) < max_rules:
         chosen: list[tuple] = []
-        inside = [r for r in left if r[2] == 0]
-        while len(chosen) < max_conditions:
-            bad0, all0 = tally([], inside, 0)
-            if not bad0 or bad0 == all0:
-                break
-            best, gain = None, 0.0
-            for o in options:
-                bad, n = tally([o], inside, 0)
-                if bad and n >= min_share * total * 2 / 3 and (g := bad * ((bad + 0.1) / (n + 0.2) - bad0 / all0)) > gain:
-                    best, gain = o, g
-            if best is None:
-                break
-            chosen.append(best)
-            inside = [r for r in inside if (r[0][best[0]] > best[2]) == best[1]]
-        share = lambda cs, fold: (lambda b, n: (b + 0.5) / (n + 1) if n else 0.0)(*tally(cs, left, fold))
-        while len(chosen) > 1 and share(chosen[:-1], 1) >= share(chosen, 1):
+        while len(chosen) < max_conditions and (o := best_next(inside(chosen) & grown)) is not None:
+            chosen.append(o)
+        while len(chosen) > 1 and precision(chosen[:-1]) >= precision(chosen):
             chosen.pop()
-        bad, n = (x + y for x, y in zip(tally(chosen, left, 0), tally(chosen, left, 1)))
-        if not chosen or not n or bad / n < min_precision or share(chosen, 1) < min_precision - 0.03:
+        held = inside(chosen)
+        b, n = int(bad[held].sum()), int(weight[held].sum())
+        if not chosen or not n or b / n < min_precision or precision(chosen) < min_precision - 0.03:
             break
-        rules.append(Rule(tuple(Condition(FEATURES[i], above, cuts[FEATURES[i]][c]) for i, above, c in chosen), bad, n))
-        left = [r for r in left if not all((r[0][i] > c) == above for i, above, c in chosen)]
+        rules.append(Rule(tuple(Condition(FEATURES[f], above, cuts[FEATURES[f]][c]) for f, above, c in chosen), b, n))
+        left &= ~held
     return rules
 
 
