@@ -104,4 +104,19 @@ ORACLE_SQL: dict[str, str] = {
             GROUP BY host, path)
         SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict
         FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path""",
+    "op7_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\t-\r\x1c- \x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') AS w FROM documents),
+        g AS (
+            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)) AS grams FROM w),
+        sets AS (SELECT md5(array_to_string(grams, chr(10))) AS s, any_value(grams) AS grams, min(doc_id) AS copy_id, count(*) AS copies FROM g GROUP BY ALL),
+        flat AS (SELECT s, unnest(grams) AS gram, len(grams) AS n FROM sets),
+        c AS (SELECT x.s AS a, y.s AS b, count(*) AS common, any_value(x.n) AS na, any_value(y.n) AS nb FROM flat x JOIN flat y ON x.gram = y.gram AND x.s <> y.s GROUP BY ALL),
+        e AS (SELECT a, b FROM c WHERE common >= 0.8 * (na + nb - common)),
+        r(s, low) AS (SELECT s, copy_id FROM sets UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.s),
+        k AS (SELECT s, min(low) AS class_id FROM r GROUP BY s),
+        n AS (SELECT a AS s, sum(copies) AS links FROM e JOIN sets ON sets.s = e.b GROUP BY a)
+        SELECT doc_id, class_id, copy_id, CAST(coalesce(links, 0) + copies - 1 AS BIGINT) AS n_links
+        FROM g JOIN sets ON md5(array_to_string(g.grams, chr(10))) = sets.s JOIN k ON k.s = sets.s LEFT JOIN n ON n.s = sets.s""",
 }
