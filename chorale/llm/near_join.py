@@ -76,9 +76,17 @@ class Banding:
         return (total + np.arange(self.bands, dtype=np.uint64) * MIX).view(np.int64)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` in a written table, with a number of its own for each row in the column `ROW`."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def row_name(columns: list[str]) -> str:
+    """`ROW`, or a longer name where a column has that one."""
+    taken, name = {c.lower() for c in columns}, ROW
+    while name in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, row_col: str = ROW) -> DataFrame:
+    """``docs`` in a written table, with a number of its own for each row in the column ``row_col``."""
+    return materialize(docs.withColumn(row_col, F.monotonically_increasing_id()), "rows")
 
 
 def signatures(docs: DataFrame, row_col: str, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
