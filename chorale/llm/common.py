@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -44,17 +45,26 @@ def uncollected() -> Iterator[None]:
         gc.collect()
 
 
-_BUILT: dict[str, object] = {}
+_BUILT: dict[object, object] = {}
 
 
-def built(token: str, build: Callable[[], object]):
-    """What ``build`` makes, kept by a worker until another token comes."""
+def built(token: object, build: Callable[[], object]):
+    """What ``build`` makes, kept by a worker until another token comes; one such thing is kept at a time."""
     if token not in _BUILT:
-        _BUILT.clear()
+        forget()
         _BUILT[token] = build()
     return _BUILT[token]
 
 
+def forget() -> None:
+    """Drop what an earlier stage left in this worker, and give its memory back to the system."""
+    if _BUILT:
+        _BUILT.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def _arrow_type(kind):
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chorale.functions.joins import join_totals
 from chorale.functions.storage import materialize
-from chorale.llm.common import map_rows, uncollected
+from chorale.llm.common import forget, map_rows, uncollected
 from chorale.operators.graph import connected_components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +93,7 @@ def signatures(docs: DataFrame, row_col: str, id_col: str, text_col: str, n: int
     """Row, id, set_key (equal for equal n-gram sets), n-grams in the set and the band hashes of every document."""
 
     def run(numbers, keys, texts) -> Iterator[tuple]:
+        forget()
         shingle, band = Shingler(n), Banding(bands, rows)
         with uncollected():
             for row, key, text in zip(numbers, keys, texts):
@@ -191,6 +192,7 @@ def near_join(
     dealt = dealt.repartition("kind", "grp", "a", "b").sortWithinPartitions("kind", "grp", "a", "b", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         shingle = Shingler(n)
         names = ["node", "low", "links"]
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorale.functions.storage import materialize
-from chorale.llm.common import map_rows
+from chorale.llm.common import built, map_rows
 
 PIECES = "`{id}` {kind}, piece int, start long, length long, ids_crc32 long"
 
@@ -93,15 +93,8 @@ class ChunkEncoder:
         return b"".join(found)
 
 
-_ENCODERS: dict[tuple, ChunkEncoder] = {}
-
-
 def encoder(path: str, max_chunks: int) -> ChunkEncoder:
-    key = (path, max_chunks)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = ChunkEncoder(path, max_chunks)
-    return _ENCODERS[key]
+    return built((path, max_chunks, "chunks"), lambda: ChunkEncoder(path, max_chunks))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, max_length: int, end_id: int, max_chunks: int) -> DataFrame:

@@ -11,7 +11,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 from pyspark.sql import DataFrame
 
-from chorale.llm.common import map_rows
+from chorale.llm.common import built, map_rows
 
 SPACE = "▁"
 #: Longer words and segments are not remembered, so that a memory of n entries has a bound in bytes.
@@ -233,15 +233,10 @@ class PieceCoder:
 
 LONGEST, UNKNOWN, NOTHING, NO_PAIR = 32, -2, -1, 1 << 40
 WORD = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_CODERS: dict[tuple, PieceCoder] = {}
 
 
 def coder(path: str, max_chunks: int) -> PieceCoder:
-    key = (path, max_chunks)
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = PieceCoder(path, max_chunks)
-    return _CODERS[key]
+    return built((path, max_chunks, "pieces"), lambda: PieceCoder(path, max_chunks))
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", max_chunks: int = 600_000) -> DataFrame:

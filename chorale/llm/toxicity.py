@@ -9,7 +9,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,34 +18,65 @@ from chorale.llm.common import built, map_rows
 MIN_N, MAX_N = 3, 6
 #: Longer words are worked out anew each time, so that a memory of n words has a bound in bytes.
 LONGEST_KEPT = 64
+#: Weights are rounded to multiples of 1 / EXACT.
+EXACT = float(1 << 30)
+#: Multipliers of the hash, one for each place in an n-gram.
+MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], dtype=np.uint32)
 
 
 def words(text: str) -> set[str]:
     return set(text.lower().split())
 
 
-def grams(word: str, bits: int) -> set[int]:
-    """Hash buckets of a word's character n-grams; its edges count as a character each."""
-    shown = f"<{word}>"
-    mask = (1 << bits) - 1
-    return {xxhash.xxh32_intdigest(shown[i : i + n]) & mask for n in range(MIN_N, MAX_N + 1) for i in range(max(1, len(shown) - n + 1))}
+def gram_runs(words_: list[str], bits: int, run_chars: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hash bucket of every character n-gram of the words, and the place of its word in the list.
 
-
-class GramCache:
-    """Buckets of words; short words are remembered, ``limit`` of them at most."""
-
-    def __init__(self, bits: int, limit: int = 100_000):
-        self.bits, self.limit, self.known = bits, limit, {}
-
-    def __call__(self, word: str) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
-            found = np.fromiter(grams(word, self.bits), dtype=np.int64)
-            if len(word) <= LONGEST_KEPT:
-                if len(self.known) >= self.limit:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+    A word's edges count as a character each. The n-grams come in runs of about ``run_chars``
+    characters; a longer word is cut, each piece with the characters that its last n-grams need.
+    """
+    start = 0
+    while start < len(words_):
+        end, size = start, 0
+        while end < len(words_) and size < run_chars:
+            size += len(words_[end]) + 2
+            end += 1
+        if size < 2 * run_chars:
+            shown = [f"<{w}>" for w in words_[start:end]]
+            lengths = np.fromiter(map(len, shown), dtype=np.int64, count=len(shown))
+            yield _buckets("".join(shown), np.arange(start, end), lengths, lengths, bits)
+        else:  # the last word is long by itself
+            yield from gram_runs_of_one(words_[start:end], start, bits, run_chars)
+        start = end
+
+
+def gram_runs_of_one(some: list[str], start: int, bits: int, run_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words piece by piece; a piece has the characters that n-grams which start in it need."""
+    for k, word in enumerate(some, start):
+        shown = f"<{word}>"
+        for at in range(0, max(1, len(shown) - MIN_N + 1), run_chars):
+            piece = shown[at : at + run_chars + MAX_N - 1]
+            yield _buckets(piece, np.array([k]), np.array([len(piece)]), np.array([run_chars]), bits)
+
+
+def _buckets(shown: str, owners: np.ndarray, lengths: np.ndarray, own: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and owners of the n-grams that start in the first ``own`` characters of each piece of ``shown``."""
+    points = np.frombuffer(shown.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(points)) - np.repeat(starts, lengths)
+    left = np.repeat(lengths, lengths) - place  # characters from here to the piece's end
+    left[place >= np.repeat(own, lengths)] = 0  # the next piece has what starts here
+    owner = np.repeat(owners, lengths)
+    h = np.zeros(len(points), dtype=np.uint32)
+    buckets, words_ = [], []
+    for n in range(1, MAX_N + 1):
+        moved, later = np.zeros(len(points), dtype=np.uint32), points[n - 1 :]
+        moved[: len(later)] = later
+        h = (h ^ moved) * MULTIPLIERS[n - 1]
+        if n >= MIN_N:
+            whole = left >= n
+            buckets.append(((h ^ (h >> np.uint32(15))) & np.uint32((1 << bits) - 1))[whole])
+            words_.append(owner[whole])
+    return np.concatenate(buckets), np.concatenate(words_)
 
 
 class Model(NamedTuple):
@@ -93,15 +123,27 @@ def log_count_ratios(without: np.ndarray, with_: np.ndarray, clean: int, toxic:
     return np.sign(ratio) * np.maximum(np.abs(ratio) - doubt * error, 0.0)
 
 
-def _features(sample: DataFrame, text_col: str, bits: int) -> DataFrame:
-    """Label and, as packed numbers, the buckets of each document and the distinct words that have them."""
+def _features(sample: DataFrame, text_col: str, bits: int, limit: int = 100_000) -> DataFrame:
+    """Label and, as packed numbers, the buckets of each document and the n-grams of its distinct words
+    in them. At most ``limit`` short words are remembered."""
 
     def run(labels_, texts) -> Iterator[tuple]:
-        cache = GramCache(bits)
+        known: dict[str, np.ndarray] = {}
         for label, text in zip(labels_, texts):
-            found = [cache(w) for w in words(text or "")]
-            bucket, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0), np.zeros(0))
+            found = words(text or "")
+            new = [w for w in found if w not in known]
+            here = {w: [] for w in new}
+            for bucket, owner in gram_runs(new, bits):
+                order = np.argsort(owner, kind="stable")
+                ends = np.flatnonzero(np.diff(owner[order], append=-1)) + 1
+                for some, last in zip(np.split(bucket[order].astype("<i4"), ends[:-1]), owner[order][ends - 1].tolist()):
+                    here[new[last]].append(some)
+            here = {w: np.concatenate(x) if x else np.zeros(0, dtype="<i4") for w, x in here.items()}
+            every = [known[w] if w in known else here[w] for w in found]
+            bucket, count = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0), np.zeros(0))
             yield label, bucket.astype("<i4").tobytes(), np.minimum(count, 65535).astype("<u2").tobytes()
+            if len(known) + len(here) <= limit:
+                known.update((w, x) for w, x in here.items() if len(w) <= LONGEST_KEPT)
 
     return map_rows(sample, ["label", text_col], "label int, bucket binary, count binary", run)
 
@@ -175,7 +217,7 @@ def fit(
     rounds: int = 2,
     steps: int = 100,
     part_docs: int = 1_000,
-    held: int = 8_000_000,
+    held: int = 1_000_000,
 ) -> Model:
     """Learn from at most ``max_docs`` labelled documents, half of each class where there are enough.
 
@@ -207,32 +249,44 @@ def fit(
     w, b = np.zeros(1 << bits), 0.0
     for _ in range(rounds):
         w, b = _mixed(features, ratios, w, b, penalty, steps, held)
-    return Model(bits, w * ratios, float(b))
+    weights = np.round(w * ratios * EXACT) / EXACT
+    return Model(bits, weights, float(b))
 
 
 class Scorer:
-    """Scores of texts; sums of short words are remembered, ``limit`` of them at most."""
-
-    def __init__(self, model: Model, limit: int = 300_000):
-        self.model, self.limit, self.known = model, limit, {}
-        self.weights = model.weights.tolist()
-
-    def _word(self, word: str) -> float:
-        weights = self.weights
-        found = math.fsum([weights[g] for g in grams(word, self.model.bits)])  # exact, so the order of a set does not matter
-        if len(word) <= LONGEST_KEPT:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            self.known[word] = found
-        return found
-
-    def __call__(self, text: str) -> float:
-        found = words(text)
-        z = list(map(self.known.get, found))
-        if None in z:
-            z = [self._word(w) if s is None else s for w, s in zip(found, z)]
-        total = math.fsum(z) + self.model.bias  # exact, so equal texts get equal scores in any order
-        return 1 / (1 + math.exp(-min(40.0, max(-40.0, total))))
+    """Scores of texts; sums of short words are remembered, ``limit`` of them at most.
+
+    Weights are multiples of 1 / `EXACT`, so that sums of them are exact and equal texts get equal
+    scores in whatever order their words come.
+    """
+
+    def __init__(self, model: Model, limit: int = 200_000, run_chars: int = 4_000_000):
+        self.model, self.limit, self.run_chars, self.known = model, limit, run_chars, {}
+
+    def _learn(self, new: list[str]) -> dict[str, float]:
+        total = np.zeros(len(new))
+        for bucket, owner in gram_runs(new, self.model.bits):
+            total += np.bincount(owner, self.model.weights[bucket], minlength=len(new))
+        return dict(zip(new, total.tolist()))
+
+    def __call__(self, texts: list[str | None]) -> Iterator[float]:
+        start = 0
+        while start < len(texts):
+            end, size, found = start, 0, []
+            while end < len(texts) and size < self.run_chars:
+                found.append(words(texts[end] or ""))
+                size += len(texts[end] or "")
+                end += 1
+            start, known = end, self.known
+            here = self._learn(list(set().union(*found).difference(known)))
+            known.update(here)
+            for some in found:
+                z = sum(map(known.__getitem__, some)) + self.model.bias
+                yield 1 / (1 + math.exp(-min(40.0, max(-40.0, z))))
+            full = len(known) > self.limit  # then what is known stays, as common words come first
+            for w in here:
+                if full or len(w) > LONGEST_KEPT:
+                    del known[w]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,8 +301,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(keys, texts) -> Iterator[tuple]:
         scorer = built(token, lambda: Scorer(sent.value))
-        for key, text in zip(keys, texts):
-            s = scorer(text or "")
+        for key, s in zip(keys, scorer(texts)):
             yield key, s, int(s >= 0.5)
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -268,6 +321,6 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = built(token, lambda: Scorer(sent.value))
         for batch in batches:
-            yield batch.filter(pa.array([scorer(t.as_py() or "") < 0.5 for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([s < 0.5 for s in scorer(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -12,6 +12,19 @@ from chorale.llm import language, toxicity
 ODD = [None, "", " ", "\n\t", "123 !?", "Aa", "İ ẞ ΣΑΣ", "x" * 5000, "same text", "same text", "日本語", "a\x00b"]
 
 
+def _grams(word, bits=18):
+    """Buckets of a word's n-grams of 3 to 6 characters, its edges counted as characters."""
+    shown = f"<{word}>"
+    out = []
+    for n in range(3, 7):
+        for i in range(len(shown) - n + 1):
+            h = 0
+            for k in range(n):
+                h = ((h ^ ord(shown[i + k])) * int(toxicity.MULTIPLIERS[k])) & 0xFFFFFFFF
+            out.append((h ^ (h >> 15)) & ((1 << bits) - 1))
+    return out
+
+
 def _labelled(n=300, seed=2):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("aeiourstln") for _ in range(rng.randint(3, 8)))
@@ -44,11 +57,21 @@ def test_features_and_tally(spark):
     docs = spark.createDataFrame([(1, "abc abc abd"), (0, None), (0, "abc"), (1, "")], "label int, text string")
     features = toxicity._features(docs, "text", 18)
     for row, text in zip(features.collect(), ["abc abc abd", "", "abc", ""]):
-        want = Counter(g for w in set(text.split()) for g in toxicity.grams(w, 18))
+        want = Counter(g for w in set(text.split()) for g in _grams(w))
         assert dict(zip(np.frombuffer(row["bucket"], "<i4").tolist(), np.frombuffer(row["count"], "<u2").tolist())) == want
     total = toxicity._tally(features, 18)
-    assert {b: tuple(total[:, b]) for b in toxicity.grams("abc", 18)} == {b: (1.0, 1.0) for b in toxicity.grams("abc", 18)}
-    assert total.sum() == len(toxicity.grams("abc", 18)) + len(toxicity.grams("abc", 18) | toxicity.grams("abd", 18))
+    both = Counter({g: 1 for g in _grams("abc")}) + Counter({g: 1 for w in ("abc", "abd") for g in _grams(w)})
+    assert {b: n for b, n in enumerate(total.sum(0).tolist()) if n} == both
+
+
+@pytest.mark.parametrize("run_chars", [1, 7, 1000])
+def test_runs_have_every_gram_once(run_chars):
+    words = ["", "a", "abcdef" * 9, "é日x", "b"]
+    got = [[] for _ in words]
+    for bucket, owner in toxicity.gram_runs(words, 18, run_chars):
+        for b, k in zip(bucket.tolist(), owner.tolist()):
+            got[k].append(b)
+    assert [Counter(x) for x in got] == [Counter(_grams(w)) for w in words]
 
 
 def test_every_bucket_with_a_ratio_counts(model):
@@ -57,12 +80,13 @@ def test_every_bucket_with_a_ratio_counts(model):
 
 def test_scores_are_sums_over_distinct_words(spark, model):
     rows = [(i, t, 0.5, 1) for i, t in enumerate(ODD)] + [(None, "moronic words", 0.5, 1)] * 2
+    assert list(toxicity.Scorer(model, limit=2, run_chars=3)(ODD)) == list(toxicity.Scorer(model)(ODD))
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted int")
     got = toxicity.score(docs, model).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
     for r in got:
         text = "moronic words" if r["doc_id"] is None else ODD[r["doc_id"]]
-        z = sum(model.weights[g] for w in set((text or "").lower().split()) for g in toxicity.grams(w, model.bits)) + model.bias
+        z = sum(model.weights[g] for w in set((text or "").lower().split()) for g in _grams(w)) + model.bias
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))), rel=1e-9)
         assert r["predicted"] == int(r["score"] >= 0.5)
     kept = toxicity.keep_clean(docs, model)
@@ -87,9 +111,9 @@ def test_one_class_and_no_labels(spark):
 
 
 def test_long_words_are_not_remembered(model):
-    scorer = toxicity.Scorer(model, limit=3)
-    scorer("a bb ccc dddd " + "x" * 10_000)
-    assert len(scorer.known) <= 3 and max(map(len, scorer.known)) <= toxicity.LONGEST_KEPT
+    scorer = toxicity.Scorer(model, limit=3, run_chars=1)
+    list(scorer(["a bb", "ccc " + "x" * 10_000]))
+    assert 0 < len(scorer.known) <= 3 and max(map(len, scorer.known)) <= toxicity.LONGEST_KEPT
 
 
 # -- language ID

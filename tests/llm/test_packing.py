@@ -102,4 +102,10 @@ def test_long_repeated_and_null_documents_over_several_rounds(spark):
         want += [(i, k, 64 * k, min(64, n - 64 * k)) for k in range(-(-n // 64))]
     assert sorted([(r["doc_id"], r["piece"], r["start"], r["length"]) for r in got], key=str) == sorted(want, key=str)
     assert got[0].asDict().keys() == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap"}
-    assert max(map(len, packing.encoder(path, 400_000).known)) <= packing.LONGEST_KEPT if packing.encoder(path, 400_000).known else True
+
+
+def test_long_words_are_not_remembered():
+    encode = packing.ChunkEncoder(tokenizer_path("word_bpe_49k.json"), 3)
+    text = "a bb ccc dddd " + "x" * 1000 + " " + "é" * 1000
+    assert encode(text) == encode._whole(text)
+    assert 0 < len(encode.known) <= 6 and max(map(len, [*encode.known, *encode.units])) <= packing.LONGEST_KEPT

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from chorale.llm import quality, toxicity
 from chorale.llm.queries import tokenizer_path
+from tests.llm.test_classifiers import _grams
 from tests.llm.test_operators import _brute_counts, _brute_links
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chorale_row long, class_id string"
@@ -66,7 +67,7 @@ def _rows(df):
 
 def _brute_clean(model, rows):
     def score(t):
-        return sum(model.weights[g] for w in set((t or "").lower().split()) for g in toxicity.grams(w, model.bits)) + model.bias
+        return sum(model.weights[g] for w in set((t or "").lower().split()) for g in _grams(w)) + model.bias
 
     return [r for r in rows if score(r[1]) < 0]
 
