@@ -12,24 +12,42 @@ from pyspark.sql import DataFrame
 
 
 def map_rows(df: DataFrame, names: list[str], schema: str, fn: Callable[..., Iterator[tuple]]) -> DataFrame:
-    """Run ``fn(columns...)`` on each Arrow batch and collect the tuples that it yields.
+    """Run ``fn(columns...)`` on slices of each Arrow batch and collect the tuples that it yields.
 
     Only ``names`` reach Python, so columns of other names can neither clash nor cost anything.
-    ``fn`` gets one Python list for each name.
+    ``fn`` gets one Python list for each name, of `SLICE_ROWS` rows at most.
     """
     source = df.select(*[df[n] for n in names])
     empty = df.sparkSession.createDataFrame([], schema)
     fields = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in empty.schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = list(fn(*[batch.column(i).to_pylist() for i in range(batch.num_columns)]))
             columns = list(zip(*rows)) if rows else [()] * len(fields)
             yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, fields)], schema=fields)
+        trim()
 
     return source.mapInArrow(run, schema)
 
 
+#: Rows that are Python objects at a time; a batch may have many more.
+SLICE_ROWS = 1_000
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
+def trim() -> None:
+    """Give free memory back to the system; allocators keep it for a worker's next task otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextlib.contextmanager
 def uncollected() -> Iterator[None]:
     """Keeps Python's cycle collector off, as many small lists are made without cycles, and runs it once after.
@@ -61,8 +79,7 @@ def forget() -> None:
     if _BUILT:
         _BUILT.clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
 
 def _arrow_type(kind):

@@ -31,28 +31,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-#: Longer words are hashed anew each time, so that a memory of n words has a bound in bytes.
-LONGEST_KEPT = 64
-
-
 class Shingler:
-    """Distinct 64-bit hashes of a text's n-grams of words, in order; short words are kept up to a limit."""
+    """Distinct 64-bit hashes of a text's n-grams of words, in order."""
 
-    def __init__(self, n: int, limit: int = 300_000):
-        self.n, self.limit, self.known = n, limit, {}
+    def __init__(self, n: int):
+        self.n = n
 
     def __call__(self, text: str) -> np.ndarray:
-        words, known = text.split(), self.known
-        found = list(map(known.get, words))
-        if None in found:
-            if len(known) >= self.limit:
-                known.clear()
-            for i, h in enumerate(found):
-                if h is None:
-                    found[i] = h = xxhash.xxh64_intdigest(words[i])
-                    if len(words[i]) <= LONGEST_KEPT:
-                        known[words[i]] = h
-        h = np.array(found, dtype=np.uint64)
+        words = text.split()
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
         n = min(self.n, max(1, len(h)))
         if not len(h):
             return np.zeros(1, dtype=np.uint64)

@@ -27,6 +27,8 @@ LONGEST_KEPT = 64
 class ChunkEncoder:
     """Token ids of whole texts as little-endian bytes, with a bounded memory of white-space chunks.
 
+    The first chunks and units that are met are remembered, as common ones come early.
+
     The vocabulary's pre-tokenizer never joins characters across white space, so a text's ids are
     its chunks' ids in order. A new chunk of simple letters is lower-cased and cut into the
     pre-tokenizer's units here, and the library's model encodes each new unit; any other chunk goes
@@ -68,10 +70,8 @@ class ChunkEncoder:
         for unit in (lower,) if lower.isalpha() else self.unit.findall(lower):
             ids = self.units.get(unit)
             if ids is None:
-                if len(self.units) >= self.max_chunks:
-                    self.units.clear()
                 ids = self._unit(unit)
-                if len(unit) <= LONGEST_KEPT:
+                if len(unit) <= LONGEST_KEPT and len(self.units) < self.max_chunks:
                     self.units[unit] = ids
             out.append(ids)
         return b"".join(out)
@@ -82,13 +82,11 @@ class ChunkEncoder:
         chunks = text.split()
         found = list(map(self.known.get, chunks))
         if None in found:
-            if len(self.known) >= self.max_chunks:
-                self.known.clear()
             for i, ids in enumerate(found):
                 if ids is None:
                     chunk = chunks[i]
                     found[i] = ids = self._chunk(chunk)
-                    if len(chunk) <= LONGEST_KEPT:
+                    if len(chunk) <= LONGEST_KEPT and len(self.known) < self.max_chunks:
                         self.known[chunk] = ids
         return b"".join(found)
 
@@ -196,7 +194,7 @@ def pack(
     end_id: int = 0,
     part_rows: int = 8_000,
     max_rounds: int = 8,
-    max_chunks: int = 400_000,
+    max_chunks: int = 150_000,
 ) -> DataFrame:
     """Pack all documents into as few sequences of ``capacity`` tokens as the method finds.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorale.functions.storage import materialize
-from chorale.llm.common import built, map_rows
+from chorale.llm.common import built, map_rows, sliced, trim
 
 MIN_N, MAX_N = 3, 6
 #: Longer words are worked out anew each time, so that a memory of n words has a bound in bytes.
@@ -123,12 +123,13 @@ def log_count_ratios(without: np.ndarray, with_: np.ndarray, clean: int, toxic:
     return np.sign(ratio) * np.maximum(np.abs(ratio) - doubt * error, 0.0)
 
 
-def _features(sample: DataFrame, text_col: str, bits: int, limit: int = 100_000) -> DataFrame:
+def _features(sample: DataFrame, text_col: str, bits: int, limit: int = 50_000) -> DataFrame:
     """Label and, as packed numbers, the buckets of each document and the n-grams of its distinct words
     in them. At most ``limit`` short words are remembered."""
+    token = uuid.uuid4().hex
 
     def run(labels_, texts) -> Iterator[tuple]:
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, np.ndarray] = built(token, dict)
         for label, text in zip(labels_, texts):
             found = words(text or "")
             new = [w for w in found if w not in known]
@@ -260,7 +261,7 @@ class Scorer:
     scores in whatever order their words come.
     """
 
-    def __init__(self, model: Model, limit: int = 200_000, run_chars: int = 4_000_000):
+    def __init__(self, model: Model, limit: int = 150_000, run_chars: int = 1_000_000):
         self.model, self.limit, self.run_chars, self.known = model, limit, run_chars, {}
 
     def _learn(self, new: list[str]) -> dict[str, float]:
@@ -320,7 +321,8 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = built(token, lambda: Scorer(sent.value))
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([s < 0.5 for s in scorer(batch.column(at).to_pylist())], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
