@@ -14,6 +14,9 @@ def join_totals(rows: DataFrame, totals: DataFrame, key: str, rows_of_key: str,
     where they are; all other rows are shuffled on the key. Null keys join nothing.
     """
     limit = max(least_hot, n_rows // hot_keys)
-    hot = F.broadcast(totals.where(F.col(rows_of_key) > limit))
-    cold = totals.where(F.col(rows_of_key) <= limit)
-    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+    names = [c for c in totals.columns if c != key]
+    hot = totals.where(F.col(rows_of_key) > limit).select(key, F.struct(*names).alias("hot_totals"))
+    marked = rows.join(F.broadcast(hot), key, "left")  # both branches use the one broadcast
+    found = marked.where("hot_totals is not null").select(*rows.columns, "hot_totals.*")
+    rest = marked.where("hot_totals is null").drop("hot_totals")
+    return found.unionByName(rest.join(totals.where(F.col(rows_of_key) <= limit), key))

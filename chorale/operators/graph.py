@@ -16,30 +16,30 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     them, so that components shrink to stars in few rounds. Each round is two aggregates and joins of
     linear size, written to the shared folder so that lineage stays short. A node with many
     neighbours, as the middle of a star is, is joined where its edges lie (see `join_totals`). Null
-    ends are left out; self-edges only name a node.
+    ends are left out; self-edges only name a node. The work ends when all components are stars.
     """
     given = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     nodes = given.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     now = materialize(given.where("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "edges")
-    size = _digest(now)
     for _ in range(max_rounds):
-        if not size[0]:
+        size, unsettled = _state(now)
+        if not unsettled:
             break
         both = now.select(F.col("low").alias("u"), F.col("high").alias("v")).unionByName(now.select(F.col("high").alias("u"), F.col("low").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = join_totals(both, least, "u", "n", 2 * size[0]).where("v > u").select(F.col("m").alias("low"), F.col("v").alias("high")).where("low <> high").distinct()
+        large = join_totals(both, least, "u", "n", 2 * size).where("v > u").select(F.col("m").alias("low"), F.col("v").alias("high")).where("low <> high").distinct()
         down = large.select(F.col("high").alias("u"), F.col("low").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_totals(down, least, "u", "n", 2 * size[0]).select("m", F.explode(F.array("u", "v")).alias("high")).where("m <> high")
+        small = join_totals(down, least, "u", "n", 2 * size).select("m", F.explode(F.array("u", "v")).alias("high")).where("m <> high")
         now = materialize(small.select(F.col("m").alias("low"), "high").distinct(), "edges")
-        before, size = size, _digest(now)
-        if size == before:
-            break
     else:
         raise RuntimeError("components did not settle")
     roots = now.groupBy("high").agg(F.min("low").alias("component"))
     return nodes.join(roots, nodes["node"] == roots["high"], "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first())
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """Edges, and nodes that are no middle and no end of a star: with two lower neighbours, or with both lower and higher ones."""
+    ends = edges.select(F.col("low").alias("u"), F.lit(0).alias("up")).unionByName(edges.select(F.col("high").alias("u"), F.lit(1).alias("up")))
+    by_node = ends.groupBy("u").agg(F.sum("up").alias("ups"), F.count("*").alias("n"))
+    return tuple(by_node.agg(F.coalesce(F.sum("ups"), F.lit(0)), F.count_if((F.col("ups") > 1) | (F.col("ups") > 0) & (F.col("n") > F.col("ups")))).first())
