@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -15,12 +16,11 @@ class Rule(NamedTuple):
     use_for_mapping: bool = True
 
 
-Q1, Q2 = "['“\"]?", "['”\"]?"
 #: Patterns of announcements, in order, and their canonical sentences.
 RULES = [
     Rule("(.*) (heeft|hebt) deze groep (aan)?gemaakt", {"admin": 1}, "{admin} heeft deze groep aangemaakt"),
-    Rule(f"(.*) (heeft|hebt)( de)? groep {Q1}(.*){Q2} (aan)?gemaakt", {"admin": 1, "to_topic": 4}, "{admin} heeft de groep '{to_topic}' aangemaakt"),
-    Rule(f"(.*) created group {Q1}(.*){Q2}", {"admin": 1, "to_topic": 2}, "{admin} heeft de groep '{to_topic}' aangemaakt"),
+    Rule("(.*) (heeft|hebt)( de)? groep ['“\"]?(.*)['”\"]? (aan)?gemaakt", {"admin": 1, "to_topic": 4}, "{admin} heeft de groep '{to_topic}' aangemaakt"),
+    Rule("(.*) created group ['“\"]?(.*)['”\"]?", {"admin": 1, "to_topic": 2}, "{admin} heeft de groep '{to_topic}' aangemaakt"),
     Rule("(.*) (heeft|hebt) (.*) toegevoegd", {"admin": 1, "name": 3}, "{admin} heeft {name} toegevoegd"),
     Rule("(.*) neemt deel via (.*) uitnodiging", {"name": 1, "admin": 2}, "{admin} heeft {name} toegevoegd"),
     Rule("(.*) added (.*)", {"admin": 1, "name": 2}, "{admin} heeft {name} toegevoegd"),
@@ -32,8 +32,8 @@ RULES = [
     Rule("(.*) is verwijderd", {"name": 1}, "{name} is verwijderd"),
     Rule("(.*) (heeft|hebt) de groepsafbeelding gewijzigd", {"admin": 1}, "{admin} heeft de groepsafbeelding gewijzigd"),
     Rule("(.*) bent nu (een )?beheerder", {"admin": 1}, "{admin} is nu een beheerder", False),
-    Rule(f"(.*) (heeft|hebt) het (groeps)?onderwerp gewijzigd naar {Q1}(.*){Q2}", {"admin": 1, "to_topic": 4}, "{admin} heeft het onderwerp gewijzigd naar '{to_topic}'"),
-    Rule(f"(.*) (heeft|hebt) het (groeps)?onderwerp gewijzigd van {Q1}(.*){Q2} naar {Q1}(.*){Q2}", {"admin": 1, "from_topic": 4, "to_topic": 5}, "{admin} heeft het onderwerp gewijzigd van '{from_topic}' naar '{to_topic}'"),
+    Rule("(.*) (heeft|hebt) het (groeps)?onderwerp gewijzigd naar ['“\"]?(.*)['”\"]?", {"admin": 1, "to_topic": 4}, "{admin} heeft het onderwerp gewijzigd naar '{to_topic}'"),
+    Rule("(.*) (heeft|hebt) het (groeps)?onderwerp gewijzigd van ['“\"]?(.*)['”\"]? naar ['“\"]?(.*)['”\"]?", {"admin": 1, "from_topic": 4, "to_topic": 5}, "{admin} heeft het onderwerp gewijzigd van '{from_topic}' naar '{to_topic}'"),
     Rule("(.*) (heeft|hebt) het (groeps)?onderwerp gewijzigd", {"admin": 1}, "{admin} heeft het onderwerp gewijzigd"),
     Rule("(.*) joined using (.*) invite", {"name": 1, "admin": 2}, "{admin} heeft {name} toegevoegd"),
     Rule(r"(.*) heeft berichten met vervaldatum ingeschakeld\. (Alle n|N)ieuwe berichten verdwijnen( na)? ([0-9]{1,2} (dagen|uren))( nadat ze zijn verzonden)? uit deze chat\.( Tik om dit te wijzigen)?", {"name": 1, "duration": 4}, "{name} heeft berichten met vervaldatum ingeschakeld. Alle nieuwe berichten verdwijnen {duration} nadat ze zijn verzonden uit deze chat.", False),
@@ -45,20 +45,22 @@ SELF = ["u", "uw", "you", "your"]
 VARIABLES = ["admin", "name", "to_topic", "from_topic", "duration"]
 
 
-def extract(announcements: DataFrame, message: str = "message", holder: str = "data_holder") -> DataFrame:
+def extract(announcements: DataFrame, message: str = "message", holder: str = "data_holder", sender: str | None = None) -> DataFrame:
     """Adds rule (from 1; null: none), the variables, template and use_for_mapping, in one projection.
 
-    Self-references in admin and name become the holder; quotes around topics go.
+    Self-references in admin and name become the holder; quotes around topics go. With ``sender``
+    only rows of an empty sender are announcements, the others have no rule. Every pattern is sought
+    from the front of a line, as all begin with any text.
     """
-    text = F.col(message)
-    number = F.coalesce(*[F.when(text.rlike(f"(?d){r.pattern}"), k) for k, r in enumerate(RULES, 1)])
+    text = F.col(message) if sender is None else F.when(F.col(sender) == "", F.col(message))
+    number = F.coalesce(*[F.when(text.rlike(f"(?dm)^{r.pattern}"), k) for k, r in enumerate(RULES, 1)])
     out = announcements.withColumn("rule", number)
 
     def variable(name: str) -> Column:
-        found = [F.when(F.col("rule") == k, F.regexp_replace(F.regexp_extract(text, f"(?d){r.pattern}", r.groups[name]), r"(?U)^\s+|\s+$", "")) for k, r in enumerate(RULES, 1) if name in r.groups]
+        found = [F.when(F.col("rule") == k, F.regexp_replace(F.regexp_extract(text, f"(?dm)^{r.pattern}", r.groups[name]), r"(?U)^\s+|\s+$", "")) for k, r in enumerate(RULES, 1) if name in r.groups]
         c = F.coalesce(*found)
         if name in ("admin", "name"):
-            return F.when(F.lower(c).isin(SELF), F.col(holder)).otherwise(c)
+            return replace_self(c, F.col(holder))
         return F.regexp_replace(c, '^["”]+|["”]+$', "") if name.endswith("topic") else c
 
     out = out.select("*", *[variable(v).alias(v) for v in VARIABLES])
@@ -66,12 +68,19 @@ def extract(announcements: DataFrame, message: str = "message", holder: str = "d
     return out.withColumn("template", by_rule(lambda r: r.sentence)).withColumn("use_for_mapping", by_rule(lambda r: r.use_for_mapping))
 
 
-def canonical(extracted: DataFrame) -> Column:
-    """The canonical sentence with its variables filled in."""
-    c = F.col("template")
-    for v in VARIABLES:
-        c = F.replace(c, F.lit("{" + v + "}"), F.coalesce(F.col(v), F.lit("")))
-    return c
+def replace_self(label: Column, holder: Column) -> Column:
+    """The holder where a label is how an export addresses its owner, else the label."""
+    return F.when(F.lower(label).isin(SELF), holder).otherwise(label)
+
+
+def canonical(extracted: DataFrame | None = None) -> Column:
+    """The canonical sentence with its variables filled in, all at once; null without a rule."""
+
+    def filled(sentence: str) -> Column:
+        parts = [F.coalesce(F.col(x[1:-1]), F.lit("")) if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w+\})", sentence) if x]
+        return F.concat(*parts)
+
+    return F.coalesce(*[F.when(F.col("rule") == k, filled(r.sentence)) for k, r in enumerate(RULES, 1)])
 
 
 def label_groups(extracted: DataFrame) -> DataFrame:

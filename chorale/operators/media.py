@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from chorale.operators.parsing import NO_MEDIA
+
 
 def canonical_by_digest(files: DataFrame, path: str = "path", digest: str = "hash") -> DataFrame:
     """hash, canonical path: of files with one digest, the last path in order."""
@@ -55,3 +57,30 @@ def anonymous_names(files: DataFrame, partition: str, path: str = "path", prefix
     known = files.select(partition, path).where(F.col(path).isNotNull()).distinct()
     i = F.row_number().over(W.partitionBy(partition).orderBy(path))
     return known.withColumn("new_name", F.concat(F.lit(f"{prefix}_"), i.cast("string"), F.regexp_extract(path, r"(\.[^./]*)$", 1)))
+
+
+def canonical_attachments(messages: DataFrame, digests: DataFrame) -> DataFrame:
+    """``messages`` with one path for all copies of a file, and hash and media_to.
+
+    ``digests`` has path and hash; the last path of a digest stands for all. A message with an
+    attachment becomes ``<bijgevoegd: NAME>``, one whose attachment was left out the sentinel. Where
+    one such message of a conversation stands for files of several digests, each gets a number before
+    the last dot of its name, in the order of the digests, and media_to is its path under that name;
+    else media_to is empty. hash is null without a digest.
+    """
+    known = digests.groupBy(F.col("path").alias("_path")).agg(F.max("hash").alias("hash"))
+    chosen = canonical_by_digest(digests).select(F.col("hash").alias("_hash"), F.col("canonical").alias("_canonical"))
+    real = ~F.col("media").isin("", NO_MEDIA) & F.col("media").isNotNull()
+    out = messages.join(known, messages["media"] == known["_path"], "left").join(chosen, F.col("hash") == F.col("_hash"), "left")
+    out = out.withColumn("media", F.when(real, F.coalesce("_canonical", "media")).otherwise(F.col("media"))).drop("_path", "_hash", "_canonical")
+    name = F.regexp_replace("media", r"^.*[/\\\\]", "")
+    told = lambda n: F.concat(F.lit("<bijgevoegd: "), n, F.lit(">"))
+    out = out.withColumn("message", F.when(real, told(name)).when(F.col("media") == NO_MEDIA, NO_MEDIA).otherwise(F.col("message")))
+    several = out.where(real & F.col("hash").isNotNull()).select("conversation_id", "message", "hash").distinct()
+    several = several.withColumn("_n", F.count("*").over(W.partitionBy("conversation_id", "message"))).where("_n > 1")
+    several = several.withColumn("_k", F.dense_rank().over(W.partitionBy("conversation_id").orderBy("hash")).cast("string")).drop("_n")
+    out = out.join(several, ["conversation_id", "message", "hash"], "left")
+    renamed = F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("_"), F.col("_k"), F.regexp_extract(name, r"(\.[^.]*)$", 1))
+    hit = F.col("_k").isNotNull()
+    out = out.withColumn("media_to", F.when(hit, F.concat(F.regexp_extract("media", r"^(.*[/\\\\])", 1), renamed)).otherwise(""))
+    return out.withColumn("message", F.when(hit, told(renamed)).otherwise(F.col("message"))).drop("_k")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chorale.functions.storage import materialize
+
 
 def overlap_scores(elements: DataFrame, label: str, element: str) -> DataFrame:
     """a, b, common, score of every two labels (a < b) that share an element.
@@ -23,3 +25,28 @@ def overlap_scores(elements: DataFrame, label: str, element: str) -> DataFrame:
 def linked(scores: DataFrame, threshold: float) -> DataFrame:
     """Edges src, dst of pairs whose score is over the threshold."""
     return scores.where(F.col("score") > threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def links(elements: DataFrame, label: str, element: str, threshold: float) -> DataFrame:
+    """Edges src, dst whose components are those of all pairs of labels with a score over the threshold.
+
+    Labels of equal sets are tied to their lowest, which alone is compared. A set of n elements that
+    scores over the threshold with one as large or larger shares more than threshold * n elements
+    with it, so at least one of its n - floor(threshold * n) rarest: only those are looked up among
+    the others' elements, and each candidate is verified on the whole sets. A very common element is
+    among the rarest of few sets, so the pairs of those that only share it are never made.
+    """
+    sets = elements.select(F.col(label).alias("label"), F.col(element).alias("element")).where("label is not null and element is not null").distinct()
+    df = sets.groupBy("element").agg(F.count("*").alias("df"))
+    ranked = sets.join(df, "element").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("ranked"))
+    ranked = ranked.select("label", F.transform("ranked", lambda x: x["element"]).alias("all"))
+    lowest = ranked.groupBy("all").agg(F.min("label").alias("label"), F.count("*").alias("n"))
+    lowest = materialize(lowest.select("label", "all", F.size("all").alias("n")), "sets")
+    copies = ranked.join(lowest.select(F.col("label").alias("src"), "all"), "all").where(F.col("label") != F.col("src")).select("src", F.col("label").alias("dst"))
+    rare = F.slice("all", 1, (F.col("n") - F.floor(threshold * F.col("n") - 1e-9)).cast("int"))
+    a = lowest.select(F.col("label").alias("a"), F.col("n").alias("na"), F.explode(rare).alias("element"))
+    b = lowest.select(F.col("label").alias("b"), F.col("n").alias("nb"), F.explode("all").alias("element"))
+    candidates = a.join(b, "element").where((F.col("nb") > F.col("na")) | (F.col("nb") == F.col("na")) & (F.col("b") > F.col("a"))).select("a", "b").distinct()
+    whole = candidates.join(lowest.select(F.col("label").alias("a"), F.col("all").alias("ea"), "n"), "a").join(lowest.select(F.col("label").alias("b"), F.col("all").alias("eb")), "b")
+    found = whole.where(F.size(F.array_intersect("ea", "eb")) / F.col("n") > threshold)
+    return found.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(copies)

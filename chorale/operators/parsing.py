@@ -8,8 +8,9 @@ from pyspark.sql import Window as W
 
 #: A date and time in an export, and the marks of attachments and omissions.
 DATETIME = r"(\d{1,4})([-/])(\d{1,2})[-/](\d{1,4})(,?\s?)(\d{1,2}):(\d{1,2}):?(\d{0,2})\s?(PM|AM)?"
-ATTACHED = [r"(?d)<bijgevoegd: (.*\.[a-zA-Z\d]{1,5})>", r"(?d)(.*) \(file attached\)", r"(?d)(.*) \(bestand bijgevoegd\)"]
-OMITTED = ["<Media omitted>", "<Media weggelaten>"]
+ATTACHED = r"(?dm)<bijgevoegd: (.*\.[a-zA-Z\d]{1,5})>|^(.*) \(file attached\)|^(.*) \(bestand bijgevoegd\)|<Media omitted>|<Media weggelaten>"
+DELETED = ["U hebt dit bericht verwijderd.", "Dit bericht is verwijderd.", "Dit bericht is verwijderd", "You deleted this message", "This message was deleted", "Gemist spraakgesprek"]
+OMITTED = ["<Media weggelaten>", "<Media omitted>", "afbeelding weggelaten", "video weggelaten"]
 NO_MEDIA = "<Media weggelaten>"
 INVISIBLE = "[‎‪ ‬﻿]"
 
@@ -51,15 +52,15 @@ def infer_formats(lined: DataFrame) -> DataFrame:
     format is not certain.
     """
     first = lined.groupBy("file").agg(phone_os(F.min_by("line", "pos")).alias("phone_os"))
-    tokens = lined.join(first, "file").select("file", "phone_os", token(F.col("phone_os"), F.col("line")).alias("t"))
+    tokens = lined.join(first, "file").select("file", "phone_os", "pos", token(F.col("phone_os"), F.col("line")).alias("t"))
     part = lambda k: F.regexp_extract("t", f"^{DATETIME}$", k)
-    parts = tokens.where(F.col("t").rlike(f"^{DATETIME}$")).select("file", "phone_os", *[part(k).alias(f"p{k}") for k in (1, 2, 3, 4, 5, 8, 9)])
+    parts = tokens.where(F.col("t").rlike(f"^{DATETIME}$")).select("file", "phone_os", "pos", *[part(k).alias(f"p{k}") for k in (1, 2, 3, 4, 5, 8, 9)])
     number = lambda k: F.max(F.col(f"p{k}").cast("int"))
     s = parts.groupBy("file", "phone_os").agg(
         number(1).alias("m1"), number(3).alias("m3"), number(4).alias("m4"),
         F.max(F.length("p1")).alias("l1"), F.max(F.length("p4")).alias("l4"),
         F.countDistinct("p1").alias("n1"), F.countDistinct("p3").alias("n3"),
-        F.first("p2").alias("sep"), F.first("p5").alias("gap"), F.max(F.length("p8")).alias("seconds"), F.max(F.length("p9")).alias("half"),
+        F.min_by("p2", "pos").alias("sep"), F.min_by("p5", "pos").alias("gap"), F.max(F.length("p8")).alias("seconds"), F.max(F.length("p9")).alias("half"),
     )
     year_first = (F.col("l1") == 4) | (F.col("m1") > 31)
     day_first = F.when(F.col("m1") > 12, True).when(F.col("m3") > 12, False).otherwise(F.col("n1") >= F.col("n3"))
@@ -79,10 +80,14 @@ def parse_date(t: Column, pattern: Column) -> Column:
 
 
 def media(message: Column, file: Column) -> Column:
-    """Path of the attachment that a message names, the omission mark, or nothing."""
-    named = F.coalesce(*[F.nullif(strip(F.regexp_extract(message, p, 1)), F.lit("")) for p in ATTACHED])
+    """Path of the first attachment that a message names, the omission mark, or nothing.
+
+    What stands before ``(file attached)`` is sought from the front of its line only, so a message is
+    read once, however long it is.
+    """
+    named = strip(F.concat(*[F.regexp_extract(message, ATTACHED, k) for k in (1, 2, 3)]))
     folder = F.when(file.endswith(".zip"), file).otherwise(F.regexp_replace(file, r"/[^/]*$", ""))
-    return F.when(named.isNotNull(), F.concat_ws("/", folder, named)).when(message.rlike("|".join(OMITTED)), NO_MEDIA).otherwise("")
+    return F.when(named != "", F.concat_ws("/", folder, named)).when(message.rlike(ATTACHED), NO_MEDIA).otherwise("")
 
 
 def messages(lined: DataFrame, chats: DataFrame) -> DataFrame:

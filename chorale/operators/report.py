@@ -49,3 +49,39 @@ def timeline(spans: DataFrame) -> DataFrame:
         days("start_selection", "end_selection").alias("selection"),
         days("end_selection", "last_date").alias("post_selection"),
     )
+
+
+def selection(overview: DataFrame, chats: DataFrame) -> DataFrame:
+    """The overview of holders that have a chat in the configuration, with its window (start_selection, end_selection)."""
+    windows = chats.groupBy("data_holder").agg(F.min("start_date").alias("start_selection"), F.max("end_date").alias("end_selection"))
+    return overview.join(windows, "data_holder")
+
+
+def statistics(before_after_: DataFrame, overview: DataFrame) -> DataFrame:
+    """All numbers of each holder in one row; where both have one, the overview's counts."""
+    shared = [c for c in before_after_.columns if c in overview.columns and c != "data_holder"]
+    return before_after_.drop(*shared).join(overview, "data_holder", "full")
+
+
+def attachments(merged: DataFrame, files: DataFrame) -> DataFrame:
+    """day, name, places: for each attachment that merged messages show, all places of the file.
+
+    ``files`` is a file table (path_self, path_other, chosen_location, external_location); files that
+    no message shows have a null day and name.
+    """
+    shown = merged.where(~F.col("media").isin("", "<Media weggelaten>")).select(F.to_date("date").alias("day"), F.regexp_replace("media", r"^.*[/\\]", "").alias("name"), F.col("media").alias("path_other"))
+    places = F.sort_array(F.collect_set(F.struct("path_self", "chosen_location", "external_location"))).alias("places")
+    return files.join(shown.distinct(), "path_other", "left").groupBy("day", "name").agg(places)
+
+
+def attachment_counts(merged: DataFrame, files: DataFrame) -> DataFrame:
+    """n_original, n_merged: places inside the conversation's directories, and attachments shown from their chosen place."""
+    shown = merged.where(~F.col("media").isin("", "<Media weggelaten>")).select(F.col("media").alias("path_other"))
+    original = files.where(~F.col("external_location")).agg(F.countDistinct("path_self").alias("n_original"))
+    chosen = files.where("chosen_location").join(shown, "path_other").agg(F.count("*").alias("n_merged"))
+    return original.withColumn("k", F.lit(1)).join(chosen.withColumn("k", F.lit(1)), "k").drop("k")  # a row each
+
+
+def media_after(before_after_: DataFrame) -> DataFrame:
+    """n_media_after of all holders together."""
+    return before_after_.agg(F.coalesce(F.sum("n_media_after"), F.lit(0)).alias("n_media_after"))

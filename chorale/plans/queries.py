@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from chorale.functions.names import slugs
-from chorale.operators import align, announcements, graph, identity, mapping, media, order, overlap, parsing, report
+from chorale.operators import align, announcements, graph, grouping, identity, mapping, media, order, overlap, parsing, report
+from chorale.plans import flows
 from chorale.sources import copies, sheets, sinks
 
 
@@ -61,10 +63,13 @@ def query(sql: str | None = None):
     return add
 
 
-def _line_scores(spark, sf_dir):
+def _long_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length("line") >= 30)
-    return overlap.overlap_scores(lines, "doc_id", "line")
+    return docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length("line") >= 30)
+
+
+def _line_scores(spark, sf_dir):
+    return overlap.overlap_scores(_long_lines(spark, sf_dir), "doc_id", "line")
 
 
 @query(SCORES_SQL + " SELECT a, b, common, round(score, 6) AS score FROM scores")
@@ -77,13 +82,13 @@ def doc_line_overlap(spark, sf_dir):
     r(node, low) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node)
     SELECT node, min(low) AS component FROM r GROUP BY node""")
 def doc_line_overlap_components(spark, sf_dir):
-    return graph.connected_components(overlap.linked(_line_scores(spark, sf_dir), 0.5))
+    return graph.connected_components(overlap.links(_long_lines(spark, sf_dir), "doc_id", "line", 0.5))
 
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS component FROM documents")
 def exact_text_components(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return docs.join(docs.groupBy("h").agg(F.min("doc_id").alias("component")), "h").select("doc_id", "component")
+    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("group_id"), F.col("doc_id").alias("member"))
+    return graph.connected_components(mapping.star_edges(docs)).select(F.col("node").alias("doc_id"), "component")
 
 
 @query(f"SELECT conversation_id, data_holder, count(*) AS n, count(DISTINCT message) AS n_distinct FROM ({EXPORTS_SQL}) GROUP BY ALL")
@@ -116,9 +121,24 @@ def merge_order_flags(spark, sf_dir):
     return align.order_flags(a, ["conversation_id"], "pos", "n").select("conversation_id", "pos", "n", "any_out_of_order", "no_unique_order", "unknown_order")
 
 
-@query()
+OWN_SQL = EXPORTS_SQL.replace("CAST(turn AS BIGINT) AS original_order", "row_number() OVER (PARTITION BY conv_id, h ORDER BY turn) - 1 AS original_order")
+_top = "greatest(coalesce(p.order_a + {r}sa, -1), coalesce(p.order_b + {r}sb, -1), coalesce(p.order_c + {r}sc, -1))"
+
+
+@query("WITH RECURSIVE" + ALIGNED_SQL.replace(EXPORTS_SQL, OWN_SQL).split("WITH", 1)[1] + f""",
+    p AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY date) - 1 AS position FROM a),
+    r(conversation_id, position, top, sa, sb, sc) AS (
+        SELECT conversation_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM p WHERE position = 0
+        UNION ALL SELECT p.conversation_id, p.position, {_top.format(r="r.")}, coalesce({_top.format(r="r.")} - p.order_a, r.sa), coalesce({_top.format(r="r.")} - p.order_b, r.sb), coalesce({_top.format(r="r.")} - p.order_c, r.sc)
+        FROM r JOIN p ON p.conversation_id = r.conversation_id AND p.position = r.position + 1)
+    SELECT p.conversation_id, date, sender, message_media, sources, p.position, top AS order_number, false AS any_out_of_order,
+           count(*) OVER (PARTITION BY p.conversation_id, top) > 1 AS no_unique_order, count(*) OVER (PARTITION BY p.conversation_id, top) > 1 AS unknown_order
+    FROM p JOIN r ON r.conversation_id = p.conversation_id AND r.position = p.position""")
 def order_repair(spark, sf_dir):
-    return order.order_rows(align.align(exports(spark, sf_dir)))
+    """Holders number the rows they have, so those who lack some lag behind until their orders are repaired."""
+    e = exports(spark, sf_dir)
+    own = F.row_number().over(W.partitionBy("conversation_id", "data_holder").orderBy("original_order")) - 1
+    return order.order_rows(align.align(e.withColumn("original_order", own.cast("long"))))
 
 
 @query("SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'")
@@ -254,11 +274,14 @@ def render_txt(spark, sf_dir):
 
 @query(f"SELECT conversation_id, data_holder, original_order, CASE WHEN lower(sender) IN ('u', 'uw', 'you', 'your', 'user') THEN data_holder ELSE sender END AS sender FROM ({EXPORTS_SQL})")
 def self_reference(spark, sf_dir):
-    who = F.when(F.lower("sender").isin([*announcements.SELF, "user"]), F.col("data_holder")).otherwise(F.col("sender"))
-    return exports(spark, sf_dir).select("conversation_id", "data_holder", "original_order", who.alias("sender"))
+    said = F.when(F.col("sender") == "user", "You").otherwise(F.col("sender"))
+    return exports(spark, sf_dir).select("conversation_id", "data_holder", "original_order", announcements.replace_self(said, F.col("data_holder")).alias("sender"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT data_holder || '/' || conversation_id AS file, data_holder, date, sender, original_order AS turn, conversation_id,
+        regexp_replace(regexp_replace(regexp_replace(message, '\\r\\n?', chr(10), 'g'), '[\\x{{200e}}\\x{{202a}}\\x{{a0}}\\x{{202c}}\\x{{feff}}]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS message FROM ({EXPORTS_SQL}) WHERE message IS NOT NULL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY turn) - 1 AS original_order FROM t)
+    SELECT file, data_holder, date, sender, message, original_order, '' AS media FROM n WHERE NOT contains(message, 'end-to-end')""")
 def export_segments(spark, sf_dir):
     """Writes each export's rows as text, then infers its format and reads the messages back."""
     e = exports(spark, sf_dir).where("message is not null")
@@ -297,13 +320,13 @@ def anonymous_attachments(spark, sf_dir):
     return media.anonymous_names(d, "source").select("source", F.regexp_replace("path", r"\.jpg$", "").cast("long").alias("doc_id"), "new_name")
 
 
-@query("""WITH RECURSIVE g AS (SELECT 'r' || n_regionkey AS g, n_nationkey AS m FROM nation UNION ALL SELECT 's' || s_nationkey % 2, s_nationkey FROM supplier WHERE s_nationkey < 4),
+@query("""WITH RECURSIVE g AS (SELECT 'r' || n_regionkey AS g, n_nationkey AS m FROM nation UNION ALL SELECT 's' || s_nationkey % 2, s_nationkey FROM supplier),
     e AS (SELECT DISTINCT x.m AS a, y.m AS b FROM g x JOIN g y USING (g)),
     r(node, low) AS (SELECT DISTINCT m, m FROM g UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node)
     SELECT node AS member, min(low) AS component FROM r GROUP BY node""")
 def merged_groups(spark, sf_dir):
     known = table(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("group_id"), F.col("n_nationkey").alias("member"))
-    found = table(spark, sf_dir, "supplier").where("s_nationkey < 4").select(F.concat(F.lit("s"), (F.col("s_nationkey") % 2).cast("string")).alias("group_id"), F.col("s_nationkey").alias("member"))
+    found = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), (F.col("s_nationkey") % 2).cast("string")).alias("group_id"), F.col("s_nationkey").alias("member"))
     return mapping.merge_groups(known, found)
 
 
@@ -358,13 +381,130 @@ def author_overlap(spark, sf_dir):
     return scores.select("a", "b", "common", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT CAST(conversation_id AS VARCHAR) AS conversation_id, CAST(0 AS INT) AS part, count(*) AS n_rows FROM ({EXPORTS_SQL}) WHERE data_holder = 'A' GROUP BY conversation_id")
+@query(f"SELECT conversation_id || '/' || data_holder AS conversation_id, CAST(0 AS INT) AS part, count(*) AS n_rows FROM ({EXPORTS_SQL}) GROUP BY ALL")
 def workbook_rows(spark, sf_dir):
-    """Writes each conversation as a workbook and counts the rows that the workbook has."""
-    books = sheets.workbooks(exports(spark, sf_dir).where("data_holder = 'A'"), ["date", "sender", "message"], position="original_order")
+    """Writes each holder's export of a conversation as a workbook and counts the rows that the workbook has."""
+    rows = exports(spark, sf_dir).withColumn("conversation_id", F.concat_ws("/", F.col("conversation_id").cast("string"), "data_holder"))
+    books = sheets.workbooks(rows, ["date", "sender", "message"], position="original_order")
 
     def count(batches):
         for pdf in batches:
             yield pdf[["conversation_id", "part"]].assign(n_rows=[len(sheets.read_sheet(c)) - 1 for c in pdf["content"]])
 
     return books.mapInPandas(count, "conversation_id string, part int, n_rows long")
+
+
+CHAT_SCORES_SQL = f"""
+    m AS (SELECT *, conversation_id || '/' || data_holder AS file FROM ({EXPORTS_SQL})),
+    s AS (SELECT DISTINCT file AS label, strftime(date, '%d-%m-%Y %H:%M') || message AS element FROM m WHERE length(message) >= 30 AND sender <> ''),
+    n AS (SELECT label, count(*) AS n FROM s GROUP BY label),
+    c AS (SELECT x.label AS a, y.label AS b, count(*) AS common FROM s x JOIN s y ON x.element = y.element AND x.label <> y.label GROUP BY ALL),
+    e AS (SELECT a, b FROM c JOIN n p ON a = p.label JOIN n q ON b = q.label WHERE common / least(p.n, q.n) > 0.1)"""
+
+
+@query(f"""WITH RECURSIVE {CHAT_SCORES_SQL},
+    r(node, low) AS (SELECT DISTINCT file, file FROM m UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node)
+    SELECT node AS file, min(low) AS component FROM r GROUP BY node""")
+def chat_groups(spark, sf_dir):
+    rows = exports(spark, sf_dir).withColumn("file", F.concat_ws("/", F.col("conversation_id").cast("string"), "data_holder"))
+    return grouping.chat_groups(rows)
+
+
+@query(f"""WITH RECURSIVE m AS ({EXPORTS_SQL}),
+    s AS (SELECT DISTINCT conversation_id AS c, data_holder AS h, sender AS l, message AS element FROM m WHERE length(message) >= 10 AND sender <> ''),
+    n AS (SELECT c, h, l, count(*) AS n FROM s GROUP BY ALL),
+    k AS (SELECT x.c, x.h AS ha, x.l AS la, y.h AS hb, y.l AS lb, count(*) AS common FROM s x JOIN s y ON x.c = y.c AND x.element = y.element AND (x.h, x.l) <> (y.h, y.l) GROUP BY ALL),
+    e AS (SELECT k.* FROM k JOIN n p ON k.c = p.c AND ha = p.h AND la = p.l JOIN n q ON k.c = q.c AND hb = q.h AND lb = q.l WHERE common / least(p.n, q.n) > 0.5),
+    r(c, h, l, low) AS (SELECT DISTINCT conversation_id, data_holder, sender, data_holder || chr(1) || sender FROM m WHERE sender <> ''
+        UNION SELECT r.c, e.hb, e.lb, r.low FROM r JOIN e ON e.c = r.c AND e.ha = r.h AND e.la = r.l)
+    SELECT c AS conversation_id, h AS data_holder, l AS label,
+           '{{"conversation_id":' || c || ',"data_holder":"' || split_part(min(low), chr(1), 1) || '","label":"' || split_part(min(low), chr(1), 2) || '"}}' AS component
+    FROM r GROUP BY c, h, l""")
+def author_groups(spark, sf_dir):
+    return grouping.author_groups(exports(spark, sf_dir))
+
+
+#: A sentence for each rule: what is said of customer a, nation n and topics t and f, and which of them the rule finds.
+SAID = [
+    ("{a} heeft deze groep aangemaakt", "a"),
+    ('{a} heeft de groep "{t}" aangemaakt', "at"),
+    ('{a} created group "{t}"', "at"),
+    ("{a} heeft {n} toegevoegd", "an"),
+    ("{n} neemt deel via {a} uitnodiging", "an"),
+    ("{a} added {n}", "an"),
+    ("{a} heeft {n} verwijderd", "an"),
+    ("{n} is toegevoegd", "n"),
+    ("{n} is deelnemer geworden via de uitnodigingslink van deze groep", "n"),
+    ("{n} heeft de groep verlaten", "n"),
+    ("{n} left", "n"),
+    ("{n} is verwijderd", "n"),
+    ("{a} heeft de groepsafbeelding gewijzigd", "a"),
+    ("{a} bent nu een beheerder", "a"),
+    ('{a} heeft het onderwerp gewijzigd naar "{t}"', "at"),
+    ('{a} heeft het onderwerp gewijzigd van "{f}" naar "{t}"', "atf"),
+    ("{a} heeft het onderwerp gewijzigd", "a"),
+    ("{n} joined using {a} invite", "an"),
+    ("{n} heeft berichten met vervaldatum ingeschakeld. Nieuwe berichten verdwijnen na 7 dagen uit deze chat.", "nd"),
+    ("{n} heeft berichten met vervaldatum uitgeschakeld.", "n"),
+    ("{n} heeft een nieuw telefoonnummer. Tik om een bericht te sturen of om het nieuwe nummer toe te voegen.", "n"),
+]
+PARTS_SQL = {"a": "a", "n": "n", "t": "t", "f": "f", "admin": "a", "name": "n", "to_topic": "t", "from_topic": "f", "duration": "'7 dagen'"}
+
+
+def _filled_sql(sentence: str) -> str:
+    return " || ".join(PARTS_SQL[x[1:-1]] if x.startswith("{") else "'" + x.replace("'", "''") + "'" for x in re.split(r"(\{\w+\})", sentence) if x)
+
+
+def _said_sql(value: Callable[[int], str | None]) -> str:
+    return "CASE k " + " ".join(f"WHEN {k} THEN {v}" for k in range(1, 22) if (v := value(k)) is not None) + " END"
+
+
+SPOKEN_SQL = """SELECT c_custkey, c_custkey % 21 + 1 AS k, c_name AS a, n_name AS n, 'topic ' || c_custkey AS t, 'from ' || c_nationkey AS f
+    FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+
+
+def _spoken(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select("c_custkey", (F.col("c_custkey") % 21 + 1).alias("k"), F.col("c_name").alias("a"), F.col("n_name").alias("n"), F.concat(F.lit("topic "), F.col("c_custkey").cast("string")).alias("t"), F.concat(F.lit("from "), F.col("c_nationkey").cast("string")).alias("f"))
+    said = F.coalesce(*[F.when(F.col("k") == k, F.concat(*[F.col(x[1:-1]) if x.startswith("{") else F.lit(x) for x in re.split(r"(\{\w+\})", sentence) if x])) for k, (sentence, _) in enumerate(SAID, 1)])
+    return rows.select("c_custkey", said.alias("message"), F.lit("H").alias("data_holder"))
+
+
+@query(f"""SELECT c_custkey, {_said_sql(lambda k: _filled_sql(SAID[k - 1][0]))} AS message, CAST(k AS INT) AS rule,
+    {_said_sql(lambda k: "a" if "a" in SAID[k - 1][1] else None)} AS admin, {_said_sql(lambda k: "n" if "n" in SAID[k - 1][1] else None)} AS name,
+    {_said_sql(lambda k: "t" if "t" in SAID[k - 1][1] else None)} AS to_topic, {_said_sql(lambda k: "f" if "f" in SAID[k - 1][1] else None)} AS from_topic,
+    CASE k WHEN 19 THEN '7 dagen' END AS duration, k NOT IN (14, 19, 20, 21) AS use_for_mapping,
+    {_said_sql(lambda k: _filled_sql(announcements.RULES[k - 1].sentence))} AS canonical FROM ({SPOKEN_SQL})""")
+def announce_rules(spark, sf_dir):
+    told = announcements.extract(_spoken(spark, sf_dir))
+    return told.select("c_custkey", "message", "rule", "admin", "name", "to_topic", "from_topic", "duration", "use_for_mapping", announcements.canonical().alias("canonical"))
+
+
+@query("""WITH t AS (SELECT p_partkey % 7 AS conversation_id, p_size AS minute, 'H' || p_partkey % 3 AS data_holder, p_brand AS label FROM part),
+    once AS (SELECT conversation_id, minute FROM t GROUP BY ALL HAVING count(*) = count(DISTINCT data_holder))
+    SELECT DISTINCT conversation_id, minute, data_holder, label FROM t JOIN once USING (conversation_id, minute)""")
+def announced_labels(spark, sf_dir):
+    """Labels that stand for one contact, as every holder has the announcement once."""
+    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 7).alias("conversation_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, p_size, 0)").alias("date"), F.concat(F.lit("H"), (F.col("p_partkey") % 3).cast("string")).alias("data_holder"), F.concat("p_brand", F.lit(" left")).alias("message"), "p_size")
+    told = announcements.extract(rows)
+    minutes = told.select("conversation_id", F.sha2(F.concat_ws("|", "conversation_id", F.col("date").cast("string"), "template", F.lit("name")), 256).alias("group_id"), F.col("p_size").alias("minute")).distinct()
+    return announcements.label_groups(told).join(minutes, ["conversation_id", "group_id"]).select("conversation_id", "minute", "data_holder", "label")
+
+
+WINDOW = ("2024-01-01 06:00:00", "2024-03-01 00:00:00")
+
+
+@query(ALIGNED_SQL + f""", m AS (SELECT conversation_id, message_media, arg_min(message, (data_holder, original_order)) AS message FROM e GROUP BY ALL),
+    p AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY date) - 1 AS position FROM a)
+    SELECT p.conversation_id, position, date, sender, coalesce(message, '') AS message, '' AS media, sources, false AS unknown_order, '' AS media_to, CAST(NULL AS VARCHAR) AS hash
+    FROM p LEFT JOIN m ON p.conversation_id = m.conversation_id AND p.message_media IS NOT DISTINCT FROM m.message_media
+    WHERE date > TIMESTAMP '{WINDOW[0]}' AND date <= TIMESTAMP '{WINDOW[1]}'""")
+def reconcile(spark, sf_dir):
+    """Exports whose holders call people by labels of their own, brought back to one table."""
+    e = exports(spark, sf_dir).withColumn("message", F.coalesce("message", F.lit("")))
+    label = F.when(F.col("data_holder") == "B", F.concat("sender", F.lit(" (B)"))).when(F.col("data_holder") == "C", F.concat(F.lit("+31 "), F.length("sender").cast("string"))).otherwise(F.col("sender"))
+    roles = e.select("sender").distinct()
+    contacts = roles.select(F.col("sender").alias("canonical"), F.lit("B").alias("data_holder"), F.concat("sender", F.lit(" (B)")).alias("label"))
+    book = roles.select(F.concat(F.lit("+31"), F.length("sender").cast("string")).alias("number"), F.col("sender").alias("name"))
+    start, end = (F.expr(f"timestamp_ntz'{x}'") for x in WINDOW)
+    return flows.reconcile(e.withColumn("sender", label).drop("message_media"), contacts, book, start=start, end=end)

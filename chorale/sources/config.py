@@ -8,8 +8,11 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chorale.functions.names import slugs
+
 #: The fields of a file's entry, and how days are written.
 FILE_FIELDS = "phone_os string, datetime_format string, datetime_certain boolean, example_date_1 string, example_date_2 string, start_date string, end_date string, load boolean, data_holder string"
 DAY = "%d-%m-%Y"
@@ -74,3 +77,39 @@ def build_config(name: str, entries: DataFrame) -> dict[str, Any]:
     known = [f.split()[0] for f in FILE_FIELDS.split(", ") if f.split()[0] in entries.columns]
     rows = entries.select("file", *known).orderBy("file").collect()
     return {"conversation_name": name, "files": {r["file"]: {n: r[n] for n in known} for r in rows}}
+
+
+def labelled_chats(files: DataFrame) -> DataFrame:
+    """``files`` (file) with a data_holder ``Chat 000``, ``Chat 001`` and so on, by path, and load."""
+    k = F.row_number().over(W.orderBy("file")) - 1  # a folder's exports, which a person has to go through
+    return files.select("file", F.format_string("Chat %03d", k).alias("data_holder"), F.lit(True).alias("load"))
+
+
+def conversation_configs(chats: DataFrame, contacts: DataFrame, book: DataFrame, names: DataFrame) -> DataFrame:
+    """conversation_id, file_name, config: the configuration of every conversation as JSON, made where its rows are.
+
+    ``chats`` has conversation_id, file and the fields of a file's entry; ``contacts``
+    conversation_id, canonical, data_holder, label; ``book`` conversation_id, number, name; ``names``
+    conversation_id, topic, name. The file's name is a slug of the id and the topic.
+    """
+    fields = [c for c in chats.columns if c not in ("conversation_id", "file")]
+    files = chats.groupBy("conversation_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file", F.struct(*fields))))).alias("files"))
+    members = contacts.groupBy("conversation_id", "canonical").agg(F.array_sort(F.collect_set(F.array("data_holder", "label"))).alias("m"))
+    members = members.groupBy("conversation_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("canonical", "m")))).alias("mapping"))
+    numbers = book.groupBy("conversation_id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("number", "name")))).alias("phone_book"))
+    every = names.join(files, "conversation_id", "left").join(members, "conversation_id", "left").join(numbers, "conversation_id", "left")
+    config = F.struct(F.col("name").alias("conversation_name"), "files", "mapping", "phone_book")
+    named = F.concat(slugs(F.concat_ws("_", F.lit("config"), F.col("conversation_id").cast("string"), "topic")), F.lit(".json"))
+    return every.select("conversation_id", named.alias("file_name"), F.to_json(config).alias("config"))
+
+
+def messages_to_json(messages: DataFrame) -> DataFrame:
+    """file, messages: each export's parsed messages as JSON, dates to the second."""
+    row = F.struct("original_order", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "sender", "message", "media")
+    return messages.groupBy("file").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("messages"))
+
+
+def messages_from_json(stored: DataFrame) -> DataFrame:
+    """The messages that `messages_to_json` wrote."""
+    rows = F.from_json("messages", "array<struct<original_order:long,date:timestamp_ntz,sender:string,message:string,media:string>>", {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"})
+    return stored.select("file", F.explode(rows).alias("m")).select("file", "m.*")

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from chorale.functions import joins
@@ -25,6 +28,7 @@ def test_votes_and_repair():
     assert order.compare({"a": 1, "b": 2}, {"a": 2, "b": 3}) == -1
     assert order.compare({"a": 1, "b": 2}, {"a": 2, "b": 1}) == 0
     assert order.compare({"a": 5}, {"b": 3}) == 1
+    assert order.compare({"a": 5, "b": 2}, {"a": 5, "b": 1}) == 0  # an equal order votes against
     assert order.repair([{"a": 0, "b": 3}, {"a": 1}, {"b": 4}]) == [{"a": 3, "b": 3}, {"a": 4}, {"b": 4}]
 
 
@@ -47,6 +51,81 @@ def test_parsing(spark):
     ]
 
 
+def _lift(rows):
+    """Repair by its definition: every value of a column at least as high rises, row after row."""
+    now = [dict(r) for r in rows]
+    for r in now:
+        top = max(r.values(), default=0)
+        for h in r:
+            if (diff := top - r[h]) > 0:
+                least = r[h]
+                for other in now:
+                    if h in other and other[h] >= least:
+                        other[h] += diff
+    return now
+
+
+def test_repair_and_standings_are_those_of_the_definition():
+    rng = random.Random(4)
+    for _ in range(200):
+        rows = [{h: rng.randint(0, 12) for h in "abc" if rng.random() < 0.6} for _ in range(rng.randint(1, 12))]
+        assert order.repair(rows) == _lift(rows)
+        want = [sum(order.compare(a, b) for b in rows) for a in rows]
+        assert order.standings(rows).tolist() == want == order.standings(rows, block=2).tolist()
+
+
+def test_order_of_minutes_with_several_rows(spark):
+    m = "timestamp_ntz'2024-01-01 10:00:00'"
+    rows = [("x", "s", "one", {"A": 1, "B": 2, "C": 3}), ("x", "s", "two", {"A": 2, "B": 3, "C": 1}), ("x", "s", "three", {"A": 3, "B": 1, "C": 2}), ("x", "s", "four", {"A": 4, "B": 4}), ("x", "t", "zero", {"C": 0}), ("y", "s", None, {"A": 0})]
+    aligned = spark.createDataFrame(rows, "conversation_id string, sender string, message_media string, orders map<string,long>").withColumn("date", F.expr(m)).withColumn("sources", F.lit("A"))
+    got = order.order_rows(aligned).orderBy("conversation_id", "position").collect()
+    by = {r["message_media"]: r for r in got}
+    assert [r["position"] for r in got] == [0, 1, 2, 3, 4, 0]
+    assert got[0]["message_media"] == "zero" and got[4]["message_media"] == "four" and not by[None]["unknown_order"]
+    assert order.order_rows(aligned.limit(0)).count() == 0
+
+
+def _overlap_edges(sets, threshold):
+    names = sorted(sets)
+    return {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) > threshold}
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.5, 0.9])
+def test_links_have_the_components_of_all_pairs(spark, threshold):
+    rng = random.Random(9)
+    sets = {f"l{i:02d}": {"common"} | {f"e{rng.randint(0, 60)}" for _ in range(rng.choice([0, 1, 3, 12]))} for i in range(60)}
+    edges = spark.createDataFrame([(k, e) for k, s in sets.items() for e in s] + [(None, "x"), ("l00", None)], "l string, e string")
+    got = overlap.links(edges, "l", "e", threshold).collect()
+    all_pairs = _overlap_edges(sets, threshold)
+    assert {tuple(sorted((r["src"], r["dst"]))) for r in got} <= all_pairs
+
+    def roots(pairs):
+        root = {k: k for k in sets}
+        for _ in sets:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert roots([tuple(r) for r in got]) == roots(all_pairs)
+
+
+def test_attachments_of_long_and_mixed_messages(spark):
+    long = "x " * 50_000
+    cases = {
+        "a.jpg (file attached)": "f/a.jpg", "b.pdf (bestand bijgevoegd)\nwith a caption": "f/b.pdf", "<bijgevoegd: 0-c.opus>": "f/0-c.opus", "text <bijgevoegd: 0-c.opus>": "f/0-c.opus",
+        "<bijgevoegd: no ending.>": "", "<Media omitted>": parsing.NO_MEDIA, "x <Media weggelaten>": parsing.NO_MEDIA, " (file attached)": parsing.NO_MEDIA, "plain": "", long: "",
+        "first\nd e.jpg (file attached)": "f/d e.jpg", long + "(file attached)": "f/" + long.strip(), "g (file attached)\n<bijgevoegd: h.jpg>": "f/g", "i <bijgevoegd: j.jpg> (file attached)": "f/i <bijgevoegd: j.jpg>",
+    }
+    rows = spark.createDataFrame([(m, "f/c.txt") for m in cases], "message string, file string")
+    assert {r[0]: r[1] for r in rows.select("message", parsing.media(F.col("message"), F.col("file"))).collect()} == cases
+
+
+def test_canonical_sentences_are_filled_at_once(spark):
+    rows = [('{name} created group "{admin}"', "h", ""), ("Bo left", "h", "Bo"), ("x" * 100_000, "h", ""), (None, "h", "")]
+    told = announcements.extract(spark.createDataFrame(rows, "message string, data_holder string, sender string"), sender="sender")
+    assert [r[0] for r in told.select(announcements.canonical()).collect()] == ["{name} heeft de groep '{admin}' aangemaakt", None, None, None]
+
+
 def test_announcements(spark):
     rows = [("you added Bo", "h"), ('Ann created group "X"', "h"), ("nothing", "h"), ("Bo left", "h")]
     got = announcements.extract(spark.createDataFrame(rows, "message string, data_holder string")).collect()
