@@ -160,7 +160,7 @@ def _tally(features: DataFrame, bits: int) -> np.ndarray:
         yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
     total = np.zeros((2, 1 << bits))
-    for row in features.select("label", "bucket").mapInArrow(run, "total binary").toLocalIterator():
+    for row in features.select("label", "bucket").mapInArrow(run, "total binary").collect():
         total += np.frombuffer(row["total"], dtype="<i4").reshape(2, -1)
     return total
 
@@ -199,7 +199,7 @@ def _mixed(features: DataFrame, ratios: np.ndarray, w: np.ndarray, b: float, pen
             yield pa.record_batch([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["n", "total", "bias"])
 
     total, bias, n = np.zeros(len(w)), 0.0, 0
-    for row in features.select("label", "bucket", "count").mapInArrow(run, "n long, total binary, bias double").toLocalIterator():
+    for row in features.select("label", "bucket", "count").mapInArrow(run, "n long, total binary, bias double").collect():
         total, bias, n = total + np.frombuffer(row["total"]), bias + row["bias"], n + row["n"]
     return total / n, bias / n
 
