@@ -11,18 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def map_rows(df: DataFrame, names: list[str], schema: str, fn: Callable[..., Iterator[tuple]]) -> DataFrame:
+def map_rows(df: DataFrame, names: list[str], schema: str, fn: Callable[..., Iterator[tuple]], slice_rows: int = 1_000) -> DataFrame:
     """Run ``fn(columns...)`` on slices of each Arrow batch and collect the tuples that it yields.
 
     Only ``names`` reach Python, so columns of other names can neither clash nor cost anything.
-    ``fn`` gets one Python list for each name, of `SLICE_ROWS` rows at most.
+    ``fn`` gets one Python list for each name, of ``slice_rows`` rows at most.
     """
     source = df.select(*[df[n] for n in names])
     empty = df.sparkSession.createDataFrame([], schema)
     fields = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in empty.schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, slice_rows):
             rows = list(fn(*[batch.column(i).to_pylist() for i in range(batch.num_columns)]))
             columns = list(zip(*rows)) if rows else [()] * len(fields)
             yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, fields)], schema=fields)
@@ -31,14 +31,11 @@ def map_rows(df: DataFrame, names: list[str], schema: str, fn: Callable[..., Ite
     return source.mapInArrow(run, schema)
 
 
-#: Rows that are Python objects at a time; a batch may have many more.
-SLICE_ROWS = 1_000
-
-
-def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], slice_rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, for all rows of a batch become Python objects at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        for at in range(0, batch.num_rows, slice_rows):
+            yield batch.slice(at, slice_rows)
 
 
 def trim() -> None:

@@ -284,4 +284,4 @@ def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             yield key, *found
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, [id_col, text_col], f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+    return map_rows(docs, [id_col, text_col], f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", run, slice_rows=10_000)
