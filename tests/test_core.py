@@ -167,3 +167,25 @@ def test_join_totals(spark):
     totals = rows.groupBy("u").agg(F.count("*").alias("n"))
     got = joins.join_totals(rows, totals, "u", "n", 901, hot_keys=10, least_hot=20).collect()
     assert len(got) == 900 and {(r["u"], r["n"]) for r in got} == {(0, 10), (1, 10), (2, 10), (9, 870)}
+
+
+@pytest.mark.parametrize("at_once", [0, 150, 10**6])
+def test_components_settled_at_once_are_those_of_the_rounds(spark, at_once):
+    rng = random.Random(8)
+    pairs = [*((k, k + 1) for k in range(80)), *((200, 201 + k) for k in range(60)), *((rng.randint(300, 500), rng.randint(300, 500)) for _ in range(70)), (600, 600), (None, 5), (-7, 600)]
+    low = {x: x for a, b in pairs if a is not None for x in (a, b)}
+    while any(low[a] != low[b] for a, b in pairs if a is not None):
+        for a, b in pairs:
+            if a is not None:
+                low[a] = low[b] = min(low[a], low[b])
+    got = graph.connected_components(spark.createDataFrame(pairs, "src int, dst int"), at_once=at_once)
+    assert got.schema["component"].dataType.simpleString() == "int"
+    assert sorted(map(tuple, got.collect())) == sorted(low.items())
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("few", "components of a chain of forty")
+    assert graph.connected_components(spark.createDataFrame([(k, k + 1) for k in range(40)], "src long, dst long")).where("component = 0").count() == 41
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("few")) <= 8
