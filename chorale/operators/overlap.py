@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from chorale.functions.joins import join_totals
 from chorale.functions.storage import materialize
 
 
@@ -31,22 +33,44 @@ def links(elements: DataFrame, label: str, element: str, threshold: float) -> Da
     """Edges src, dst whose components are those of all pairs of labels with a score over the threshold.
 
     Labels of equal sets are tied to their lowest, which alone is compared. A set of n elements that
-    scores over the threshold with one as large or larger shares more than threshold * n elements
-    with it, so at least one of its n - floor(threshold * n) rarest: only those are looked up among
-    the others' elements, and each candidate is verified on the whole sets. A very common element is
-    among the rarest of few sets, so the pairs of those that only share it are never made.
+    scores over the threshold with one as large or larger shares some number of elements with it, the
+    least k of which k / n is over the threshold, so at least one of its n - k + 1 rarest: only those
+    are looked up among the others' elements, and each candidate is verified on the whole sets. A very
+    common element is among the rarest of few sets, so the pairs of those that only share it are never
+    made. Elements of one set alone count among the rarest and for n, but are not kept.
     """
-    sets = elements.select(F.col(label).alias("label"), F.col(element).alias("element")).where("label is not null and element is not null").distinct()
-    df = sets.groupBy("element").agg(F.count("*").alias("df"))
-    ranked = sets.join(df, "element").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("ranked"))
-    ranked = ranked.select("label", F.transform("ranked", lambda x: x["element"]).alias("all"))
-    lowest = ranked.groupBy("all").agg(F.min("label").alias("label"), F.count("*").alias("n"))
-    lowest = materialize(lowest.select("label", "all", F.size("all").alias("n")), "sets")
-    copies = ranked.join(lowest.select(F.col("label").alias("src"), "all"), "all").where(F.col("label") != F.col("src")).select("src", F.col("label").alias("dst"))
-    rare = F.slice("all", 1, (F.col("n") - F.floor(threshold * F.col("n") - 1e-9)).cast("int"))
-    a = lowest.select(F.col("label").alias("a"), F.col("n").alias("na"), F.explode(rare).alias("element"))
-    b = lowest.select(F.col("label").alias("b"), F.col("n").alias("nb"), F.explode("all").alias("element"))
+    ranked = materialize(_ranked(elements, label, element), "ranked")
+    closed = ranked.where(F.col("n") == F.size("all"))  # others have an element of their own, so no equal set
+    lowest = closed.groupBy("all").agg(F.min("label").alias("src"), F.count("*").alias("copies"))
+    tied = join_totals(closed, lowest, "all", "copies", ranked.count())
+    copies = tied.where(F.col("label") != F.col("src")).select("src", F.col("label").alias("dst"))
+    single = ranked.where(F.col("n") > F.size("all")).unionByName(tied.where(F.col("label") == F.col("src")).select("label", "n", "all"))
+    single = materialize(single, "sets")
+    under = F.floor(threshold * F.col("n"))
+    under = under - (under / F.col("n") > threshold).cast("int")  # as many common elements do not reach over the threshold
+    rare = F.slice("all", 1, F.greatest(F.lit(0), F.size("all") - under).cast("int"))
+    a = single.select(F.col("label").alias("a"), F.col("n").alias("na"), F.explode(rare).alias("element"))
+    b = single.select(F.col("label").alias("b"), F.col("n").alias("nb"), F.explode("all").alias("element"))
     candidates = a.join(b, "element").where((F.col("nb") > F.col("na")) | (F.col("nb") == F.col("na")) & (F.col("b") > F.col("a"))).select("a", "b").distinct()
-    whole = candidates.join(lowest.select(F.col("label").alias("a"), F.col("all").alias("ea"), "n"), "a").join(lowest.select(F.col("label").alias("b"), F.col("all").alias("eb")), "b")
+    whole = candidates.join(single.select(F.col("label").alias("a"), F.col("all").alias("ea"), "n"), "a").join(single.select(F.col("label").alias("b"), F.col("all").alias("eb")), "b")
     found = whole.where(F.size(F.array_intersect("ea", "eb")) / F.col("n") > threshold)
     return found.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(copies)
+
+
+def _ranked(elements: DataFrame, label: str, element: str) -> DataFrame:
+    """label, n, all: of every set that shares an element with another, its size and its shared elements, rarest first.
+
+    Shared elements are numbers. Strings are told apart by 128 bits of their SHA-256, so that long
+    ones are neither shuffled nor written.
+    """
+    name = F.col(element)
+    if isinstance(elements.schema[element].dataType, StringType):
+        name = F.unhex(F.substring(F.sha2(name.cast("binary"), 256), 1, 32))
+    sets = elements.select(F.col(label).alias("label"), name.alias("element")).where("label is not null and element is not null").distinct()
+    sets = materialize(sets, "elements")
+    shared = sets.groupBy("element").agg(F.count("*").alias("df")).where("df > 1").withColumn("number", F.monotonically_increasing_id())
+    shared = materialize(shared, "shared")
+    held = join_totals(sets, shared, "element", "df", sets.count())
+    held = held.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("df", "number"))).alias("ranked"))
+    held = held.select("label", F.transform("ranked", lambda x: x["number"]).alias("all"))
+    return sets.groupBy("label").agg(F.count("*").alias("n")).join(held, "label").select("label", "n", "all")

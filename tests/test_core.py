@@ -189,3 +189,30 @@ def test_components_of_few_edges_take_few_jobs(spark):
     assert graph.connected_components(spark.createDataFrame([(k, k + 1) for k in range(40)], "src long, dst long")).where("component = 0").count() == 41
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert len(sc.statusTracker().getJobIdsForGroup("few")) <= 8
+
+
+def _shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_links_shuffle_no_long_elements(spark):
+    rng = random.Random(4)
+    rows = [(d, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4000))) for d in range(200)]
+    rows += [(d + 1, e) for d, e in rows[:100:2]]
+    sets = spark.createDataFrame(rows, "l long, e string").repartition(4).cache()
+    sets.count()
+    before = _shuffled(spark)
+    got = {(r["src"], r["dst"]) for r in overlap.links(sets, "l", "e", 0.4).collect()}
+    assert {tuple(sorted(x)) for x in got} == {(d, d + 1) for d in range(0, 100, 2)}
+    assert _shuffled(spark) - before < 200_000
+
+
+def test_links_propose_no_pairs_that_only_share_a_common_element(spark):
+    """A set of two shares both elements or is not over half, so the common one is not looked up."""
+    rows = [(d, e) for d in range(300) for e in ("common", f"own{d}")] + [(d, "with 0") for d in (0, 400)] + [(400, "common")]
+    sets = spark.createDataFrame(rows, "l long, e string")
+    assert [tuple(r) for r in overlap.links(sets, "l", "e", 0.5).collect()] == [(400, 0)]
+    rows = overlap._ranked(sets, "l", "e").collect()
+    assert {(r["label"], r["n"], len(r["all"])) for r in rows} == {(0, 3, 2), (400, 2, 2), *((d, 2, 1) for d in range(1, 300))}
