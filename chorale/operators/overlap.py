@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -10,18 +10,49 @@ from chorale.functions.joins import join_totals
 from chorale.functions.storage import materialize
 
 
-def overlap_scores(elements: DataFrame, label: str, element: str) -> DataFrame:
+def overlap_scores(elements: DataFrame, label: str, element: str, decimals: int | None = None, block: int = 200, block_sets: int = 1_000) -> DataFrame:
     """a, b, common, score of every two labels (a < b) that share an element.
 
-    The score is the size of the intersection over the smaller set's size. Labels meet in an
-    equi-join on the element; a very common element's rows are split by adaptive skew handling.
+    The score is the size of the intersection over the smaller set's size, rounded where ``decimals``
+    is given. Labels that share the same elements with others are a class: classes meet in a join on
+    the element, an element of many in pairs of blocks of about ``block_sets``, and what two classes
+    share is counted once for all their labels. Only then labels are paired, in blocks of about
+    ``block`` of a class, each class pair carrying the smaller one's labels to the larger one's. So
+    pairs of labels are made where they are returned; none is shuffled.
     """
-    sets = elements.select(F.col(label).alias("label"), F.col(element).alias("element")).where("label is not null and element is not null").distinct()
-    sizes = sets.groupBy("label").agg(F.count("*").alias("n"))
-    left, right = sets.withColumnRenamed("label", "a"), sets.withColumnRenamed("label", "b")
-    common = left.join(right, "element").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    na, nb = sizes.select(F.col("label").alias("a"), F.col("n").alias("na")), sizes.select(F.col("label").alias("b"), F.col("n").alias("nb"))
-    return common.join(na, "a").join(nb, "b").select("a", "b", "common", (F.col("common") / F.least("na", "nb")).alias("score"))
+    ranked = materialize(_ranked(elements, label, element), "ranked")
+    classes = materialize(ranked.groupBy("all").agg(F.min("label").alias("class"), F.count("*").alias("m")), "classes")
+    member = join_totals(ranked, classes, "all", "m", ranked.count())
+    member = member.select("class", _dealt("label", _blocks("m", block)).alias("part"), "n", "label")
+    blocks = materialize(member.groupBy("class", "part", "n").agg(F.collect_list("label").alias("labels")), "blocks")
+    rows = materialize(classes.select("class", "m", F.explode("all").alias("element")), "rows")
+    held = rows.groupBy("element").agg(F.count("*").alias("held"))
+    rows = join_totals(rows, held, "element", "held", rows.count()).withColumn("side", _blocks("held", block_sets))
+    mine, every = _dealt("class", F.col("side")), F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+    left = rows.select("element", F.col("class").alias("ca"), F.col("m").alias("ma"), mine.alias("i"), every.alias("j"))
+    right = rows.select("element", F.col("class").alias("cb"), F.col("m").alias("mb"), mine.alias("j"), every.alias("i"))
+    pairs = left.join(right, ["element", "i", "j"]).where("ca < cb").groupBy("ca", "ma", "cb", "mb").agg(F.count("*").alias("common"))
+    own = classes.where("m > 1").select(F.col("class").alias("ca"), F.col("m").alias("ma"), F.col("class").alias("cb"), F.col("m").alias("mb"), F.size("all").cast("long").alias("common"))
+    sides = [F.struct(F.col(f"c{x}").alias("class"), _blocks(f"m{x}", block).alias("parts")) for x in "ab"]
+    less = F.col("ma") <= F.col("mb")
+    pairs = pairs.unionByName(own).select(F.when(less, sides[0]).otherwise(sides[1]).alias("x"), F.when(less, sides[1]).otherwise(sides[0]).alias("y"), "common")
+    for side in "xy":
+        pairs = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col(f"{side}.parts") - 1))).withColumn("class", F.col(f"{side}.class"))
+        found = blocks.select("class", "part", F.col("n").alias(f"n{side}"), F.col("labels").alias(f"labels_{side}"))
+        pairs = pairs.join(found, ["class", "part"]).drop("class", "part")
+    score = F.col("common") / F.least("nx", "ny")
+    scored = pairs.select((F.col("x.class") == F.col("y.class")).alias("same"), "labels_x", "labels_y", "common", (score if decimals is None else F.round(score, decimals)).alias("score"))
+    scored = scored.select("same", F.explode("labels_x").alias("x"), "labels_y", "common", "score").select("same", "x", F.explode("labels_y").alias("y"), "common", "score")
+    return scored.where("not same or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "common", "score")
+
+
+def _blocks(rows: str, block: int) -> Column:
+    return F.ceil(F.col(rows) / block).cast("int")
+
+
+def _dealt(key: str, blocks: Column) -> Column:
+    """The block of a key, by a hash with a word of its own, as exchanges deal rows by the plain one."""
+    return F.pmod(F.xxhash64(F.lit("block"), key), blocks).cast("int")
 
 
 def linked(scores: DataFrame, threshold: float) -> DataFrame:

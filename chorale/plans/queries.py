@@ -68,13 +68,13 @@ def _long_lines(spark, sf_dir):
     return docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length("line") >= 30)
 
 
-def _line_scores(spark, sf_dir):
-    return overlap.overlap_scores(_long_lines(spark, sf_dir), "doc_id", "line")
+def _line_scores(spark, sf_dir, decimals=None):
+    return overlap.overlap_scores(_long_lines(spark, sf_dir), "doc_id", "line", decimals)
 
 
 @query(SCORES_SQL + " SELECT a, b, common, round(score, 6) AS score FROM scores")
 def doc_line_overlap(spark, sf_dir):
-    return _line_scores(spark, sf_dir).select("a", "b", "common", F.round("score", 6).alias("score"))
+    return _line_scores(spark, sf_dir, 6)
 
 
 @query(SCORES_SQL.replace("WITH s", "WITH RECURSIVE s") + """,

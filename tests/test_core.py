@@ -216,3 +216,19 @@ def test_links_propose_no_pairs_that_only_share_a_common_element(spark):
     assert [tuple(r) for r in overlap.links(sets, "l", "e", 0.5).collect()] == [(400, 0)]
     rows = overlap._ranked(sets, "l", "e").collect()
     assert {(r["label"], r["n"], len(r["all"])) for r in rows} == {(0, 3, 2), (400, 2, 2), *((d, 2, 1) for d in range(1, 300))}
+
+
+@pytest.mark.parametrize("limits", [{}, {"block": 2, "block_sets": 2}])
+def test_overlap_scores_against_brute_force(spark, limits):
+    rng = random.Random(6)
+    sets = {d: frozenset(rng.choices("abcdefgh", k=rng.randint(1, 4))) | {f"own{d}x{k}" for k in range(rng.choice([0, 0, 1, 3]))} for d in range(60)}
+    want = sorted((a, b, len(x & y), round(len(x & y) / min(len(x), len(y)), 6)) for a, x in sets.items() for b, y in sets.items() if a < b and x & y)
+    rows = spark.createDataFrame([(d, e) for d, x in sets.items() for e in x], "l long, e string")
+    assert sorted(map(tuple, overlap.overlap_scores(rows, "l", "e", 6, **limits).collect())) == want
+
+
+def test_overlap_scores_shuffle_no_pairs(spark):
+    rows = spark.createDataFrame([(d, e) for d in range(1500) for e in ("common", f"own{d}")], "l long, e string")
+    before = _shuffled(spark)
+    assert overlap.overlap_scores(rows, "l", "e").where("common = 1 and score = 0.5").count() == 1500 * 1499 // 2
+    assert _shuffled(spark) - before < 500_000
