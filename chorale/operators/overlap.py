@@ -14,40 +14,48 @@ def overlap_scores(elements: DataFrame, label: str, element: str, decimals: int
     """a, b, common, score of every two labels (a < b) that share an element.
 
     The score is the size of the intersection over the smaller set's size, rounded where ``decimals``
-    is given. Labels that share the same elements with others are a class: classes meet in a join on
-    the element, an element of many in pairs of blocks of about ``block_sets``, and what two classes
-    share is counted once for all their labels. Only then labels are paired, in blocks of about
-    ``block`` of a class, each class pair carrying the smaller one's labels to the larger one's. So
-    pairs of labels are made where they are returned; none is shuffled.
+    is given. Labels that share the same elements with others are a class. The classes of an element
+    meet in pairs of blocks of ``block_sets``, and what they share with the class of the lower number
+    is sent to where that is as lists of numbers and counted there, once for all their labels. Only
+    then labels are paired, in blocks of about ``block`` of a class, each class pair carrying the
+    smaller one's labels to the larger one's. So pairs of labels are made where they are returned; none
+    is shuffled. The few rows that become many pairs are dealt to as many tasks as exchanges have, as
+    by their bytes they would go to a handful.
     """
+    spark = elements.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = materialize(_ranked(elements, label, element), "ranked")
-    classes = materialize(ranked.groupBy("all").agg(F.min("label").alias("class"), F.count("*").alias("m")), "classes")
+    classes = ranked.groupBy("all").agg(F.count("*").alias("m"))
+    classes = materialize(classes.withColumn("class", _number("m")), "classes")
     member = join_totals(ranked, classes, "all", "m", ranked.count())
-    member = member.select("class", _dealt("label", _blocks("m", block)).alias("part"), "n", "label")
+    member = member.select("class", _dealt("label", _blocks(F.col("m"), block)).alias("part"), "n", "label")
     blocks = materialize(member.groupBy("class", "part", "n").agg(F.collect_list("label").alias("labels")), "blocks")
-    rows = materialize(classes.select("class", "m", F.explode("all").alias("element")), "rows")
-    held = rows.groupBy("element").agg(F.count("*").alias("held"))
-    rows = join_totals(rows, held, "element", "held", rows.count()).withColumn("side", _blocks("held", block_sets))
-    mine, every = _dealt("class", F.col("side")), F.explode(F.sequence(F.lit(0), F.col("side") - 1))
-    left = rows.select("element", F.col("class").alias("ca"), F.col("m").alias("ma"), mine.alias("i"), every.alias("j"))
-    right = rows.select("element", F.col("class").alias("cb"), F.col("m").alias("mb"), mine.alias("j"), every.alias("i"))
-    pairs = left.join(right, ["element", "i", "j"]).where("ca < cb").groupBy("ca", "ma", "cb", "mb").agg(F.count("*").alias("common"))
-    own = classes.where("m > 1").select(F.col("class").alias("ca"), F.col("m").alias("ma"), F.col("class").alias("cb"), F.col("m").alias("mb"), F.size("all").cast("long").alias("common"))
-    sides = [F.struct(F.col(f"c{x}").alias("class"), _blocks(f"m{x}", block).alias("parts")) for x in "ab"]
-    less = F.col("ma") <= F.col("mb")
-    pairs = pairs.unionByName(own).select(F.when(less, sides[0]).otherwise(sides[1]).alias("x"), F.when(less, sides[1]).otherwise(sides[0]).alias("y"), "common")
-    for side in "xy":
-        pairs = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col(f"{side}.parts") - 1))).withColumn("class", F.col(f"{side}.class"))
-        found = blocks.select("class", "part", F.col("n").alias(f"n{side}"), F.col("labels").alias(f"labels_{side}"))
-        pairs = pairs.join(found, ["class", "part"]).drop("class", "part")
+    held = classes.select("class", F.explode("all").alias("element")).groupBy("element").agg(F.sort_array(F.collect_list("class")).alias("held"))
+    last = _blocks(F.size("held"), block_sets) - 1
+    cells = held.select("held", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("i")).select("held", "i", F.explode(F.sequence("i", "last")).alias("j"))
+    cells = cells.select(F.slice("held", F.col("i") * block_sets + 1, block_sets).alias("mine"), F.slice("held", F.col("j") * block_sets + 1, block_sets).alias("others"), (F.col("i") == F.col("j")).alias("own")).repartition(tasks)
+    lists = cells.select("others", "own", F.posexplode("mine").alias("at", "x"))
+    lists = lists.select("x", F.when(F.col("own"), F.slice("others", F.col("at") + 1, block_sets)).otherwise(F.col("others")).alias("ys"))
+    pairs = lists.repartition(tasks, "x").select("x", F.explode("ys").alias("y")).groupBy("x", "y").agg(F.count("*").alias("common"))
+    large = classes.where(F.col("m") > block).select(F.col("class").alias("y"), _blocks(F.col("m"), block).alias("parts"))  # one in ``block`` labels at most
+    pairs = pairs.join(F.broadcast(large), "y", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    mine = blocks.select(F.col("class").alias("x"), F.col("n").alias("nx"), F.col("labels").alias("labels_x"))
+    pairs = pairs.join(mine.hint("shuffle_hash"), "x").select("y", "part", (F.col("x") == F.col("y")).alias("same"), "common", "nx", "labels_x")
+    others = blocks.select(F.col("class").alias("y"), "part", F.col("n").alias("ny"), F.col("labels").alias("labels_y"))
+    pairs = pairs.join(others.hint("shuffle_hash"), ["y", "part"])
     score = F.col("common") / F.least("nx", "ny")
-    scored = pairs.select((F.col("x.class") == F.col("y.class")).alias("same"), "labels_x", "labels_y", "common", (score if decimals is None else F.round(score, decimals)).alias("score"))
+    scored = pairs.select("same", "labels_x", "labels_y", "common", (score if decimals is None else F.round(score, decimals)).alias("score"))
     scored = scored.select("same", F.explode("labels_x").alias("x"), "labels_y", "common", "score").select("same", "x", F.explode("labels_y").alias("y"), "common", "score")
     return scored.where("not same or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "common", "score")
 
 
-def _blocks(rows: str, block: int) -> Column:
-    return F.ceil(F.col(rows) / block).cast("int")
+def _number(rows: str) -> Column:
+    """A number for each row, the higher the higher ``rows`` is; rows over 4,095 count as that many."""
+    return F.shiftleft(F.least(F.col(rows), F.lit(4_095)), 51).bitwiseOR(F.monotonically_increasing_id())
+
+
+def _blocks(rows: Column, block: int) -> Column:
+    return F.ceil(rows / block).cast("int")
 
 
 def _dealt(key: str, blocks: Column) -> Column:

@@ -232,3 +232,22 @@ def test_overlap_scores_shuffle_no_pairs(spark):
     before = _shuffled(spark)
     assert overlap.overlap_scores(rows, "l", "e").where("common = 1 and score = 0.5").count() == 1500 * 1499 // 2
     assert _shuffled(spark) - before < 500_000
+
+
+def test_overlap_scores_shuffle_a_pair_of_classes_once(spark):
+    """Every set is a class of its own here, and all share the common element."""
+    rows = spark.createDataFrame([(d, e) for d in range(600) for e in ("common", f"p{d // 2}", f"q{(d + 1) // 2}")], "l long, e string")
+    sc = spark.sparkContext
+
+    def records():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = records()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with larger tables
+    try:
+        got = overlap.overlap_scores(rows, "l", "e").groupBy("common").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {tuple(r) for r in got} == {(2, 599), (1, 600 * 599 // 2 - 599)}
+    assert records() - before < 1.5 * (600 * 599 // 2)
